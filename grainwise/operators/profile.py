@@ -46,7 +46,7 @@ def column_stats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
         counters += [F.count_if(F.col(f"c{i}") == kind).alias(f"{kind}{i}") for kind in cells.CLASSES]
     per_column = F.array(*[
         F.struct(
-            F.lit(name).alias("column"), F.lit(i).alias("position"), F.col("rows"),
+            F.lit(name).alias("column"), F.lit(i).cast("bigint").alias("position"), F.col("rows"),
             *[F.col(f"{kind}{i}").alias(f"{kind}_cells") for kind in cells.CLASSES],
         )
         for i, name in enumerate(names)
