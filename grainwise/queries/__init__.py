@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("profiling", "quality", "cleaning", "filters", "metrics", "grouped", "joins")
+MODULES = (
+    "profiling", "quality", "cleaning", "filters", "metrics", "grouped", "joins", "retail", "verification", "ledgers",
+    "routing", "evidence", "sources",
+)
 
 
 def load() -> dict:

@@ -127,9 +127,12 @@ def trend_quarter(t: Tables) -> DataFrame:
     return _native_trend(t, "quarter")
 
 
-@query("trend_iso_week", "G8", _native_trend_sql("strftime(o_orderdate, '%G-W%V')"))
+@query("trend_iso_week", "G8", """SELECT strftime(o_orderdate, '%G-W%V') AS key, round(sum(o_totalprice), 2) AS value,
+    count(*) AS source_rows, count(DISTINCT o_custkey) AS distinct_entities, CAST(0 AS BIGINT) AS invalid_value_rows
+    FROM orders GROUP BY 1""")
 def trend_iso_week(t: Tables) -> DataFrame:
-    return _native_trend(t, "week")
+    wanted = Analysis("trend", "sum", "o_custkey", time="o_orderdate", grain="week", value="o_totalprice")
+    return rounded(grouped.analyse(t.orders, wanted), 2)
 
 
 def _rank_sql(direction: str, n: int) -> str:
