@@ -32,7 +32,7 @@ HEADLINE = [
     "relationship_profile", "join_left", "join_inner", "join_reconcile", "join_enrichment", "join_steps", "join_lineage",
     "retail_kpis", "retail_monthly", "retail_category_rank", "retail_delivery_review",
     "verify_metric", "verify_group", "rate_window", "alert_transitions", "transition_validity", "write_outcomes",
-    "analysis_route", "record_checksum", "header_survey",
+    "analysis_route", "record_checksum",
 ]
 RUNS = 3
 

@@ -21,6 +21,7 @@ BLANKS = (
 )
 # Trimmed, lower-cased texts that mean "no value".
 MISSING_WORDS = ["", "null", "undefined", "__null__"]
+LONGEST_MISSING_WORD = max(len(w) for w in MISSING_WORDS)
 # Trimmed, lower-cased texts that are booleans.
 BOOLEAN_WORDS = ["true", "false", "是", "否"]
 # A measure: no exponent, no plus sign, no thousands separator.
@@ -33,6 +34,7 @@ DAY_PATTERN = r"^(?!00)\d{4}[-/]\d{1,2}[-/]\d{1,2}(?=$|[ T])"
 
 CLASSES = ("date", "number", "boolean", "text")
 GRAINS = ("day", "week", "month", "quarter")
+NORMAL = "normalised_cell"
 
 
 def data_type(df: DataFrame, name: str) -> T.DataType:
@@ -67,9 +69,12 @@ def trimmed(c: Column) -> Column:
 
 
 def present_text(c: Column) -> Column:
-    """Trimmed text, or NULL where the cell means "no value"."""
+    """Trimmed text, or NULL where the cell means "no value".
+
+    No missing word is longer than nine bytes, so long texts are not lower-cased.
+    """
     t = trimmed(c)
-    return F.when(~F.lower(t).isin(MISSING_WORDS), t)
+    return F.when((F.octet_length(t) > LONGEST_MISSING_WORD) | ~F.lower(t).isin(MISSING_WORDS), t)
 
 
 def raw_text(df: DataFrame, name: str) -> Column:
@@ -88,10 +93,37 @@ def raw_text(df: DataFrame, name: str) -> Column:
     return c.cast("string")
 
 
+def is_normal(df: DataFrame, name: str) -> bool:
+    """Was this text column already normalised (see ``normalised``)?"""
+    return bool(df.schema[name].metadata.get(NORMAL))
+
+
+def normalised(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns with text cells trimmed and missing ones NULL.
+
+    Operators begin with this projection. A cell is trimmed once per row however
+    many rules look at it, and a table that was normalised and stored is not
+    trimmed again: the column carries a mark in its metadata. Typed columns pass
+    through untouched.
+    """
+    require(df, list(names))
+    out = []
+    for name in dict.fromkeys(names):
+        c = col(name)
+        if is_text(df, name) and not is_normal(df, name):
+            c = present_text(c).alias(name, metadata={NORMAL: True})
+        out.append(c)
+    return df.select(*out)
+
+
 def text(df: DataFrame, name: str) -> Column:
     """Trimmed text, NULL when missing: the normalised cell of every operator."""
     raw = raw_text(df, name)
-    return present_text(raw) if is_text(df, name) else raw
+    return present_text(raw) if is_text(df, name) and not is_normal(df, name) else raw
+
+
+def _trimmed(df: DataFrame, name: str) -> Column:
+    return col(name) if is_normal(df, name) else trimmed(col(name))
 
 
 def missing(df: DataFrame, name: str) -> Column:
@@ -119,7 +151,7 @@ def number(df: DataFrame, name: str) -> Column:
             return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
         return value
     if kind == "text":
-        t = trimmed(c)
+        t = _trimmed(df, name)
         return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
     return F.lit(None).cast("double")
 
@@ -132,10 +164,11 @@ def day(df: DataFrame, name: str) -> Column:
         return c.cast("date")
     if kind != "text":
         return F.lit(None).cast("date")
-    t = trimmed(c)
-    head = F.translate(F.regexp_extract(t, DAY_PATTERN, 0), "/", "-")
+    t = _trimmed(df, name)
+    head = F.translate(F.regexp_extract(t, DAY_PATTERN, 0), "/", "-").try_cast("date")
     clock_ok = ~t.rlike("[ T]") | F.translate(t, "/", "-").try_cast("timestamp").isNotNull()
-    return F.when(clock_ok, head.try_cast("date"))
+    # only a separator in fifth place is worth the pattern
+    return F.when(F.substring(t, 5, 1).isin("-", "/"), F.when(clock_ok, head))
 
 
 def cell_class(df: DataFrame, name: str) -> Column:

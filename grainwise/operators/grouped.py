@@ -53,13 +53,15 @@ class Analysis:
                 raise ValueError("a ratio is defined for a whole table or a group comparison")
             if self.numerator is None or not self.numerator.enabled or self.numerator.problem():
                 raise ValueError("a ratio needs a numerator condition")
-        fields = [self.entity, self.time if self.shape == "trend" else self.group]
-        if self.aggregation in ("sum", "average"):
-            fields.append(self.value)
-        for rule in (self.numerator, self.denominator):
-            if self.aggregation == "ratio" and rule is not None and rule.enabled:
-                fields.append(rule.field)
-        cells.require(df, fields)
+        cells.require(df, self.fields())
+
+    def fields(self) -> list[str]:
+        """The columns the analysis reads."""
+        ratio = self.aggregation == "ratio"
+        names = [self.entity, self.time if self.shape == "trend" else self.group]
+        names += [self.value] if self.aggregation in ("sum", "average") else []
+        names += [r.field for r in (self.numerator, self.denominator) if ratio and r is not None and r.enabled]
+        return list(dict.fromkeys(n for n in names if n))
 
 
 def group_key(df: DataFrame, analysis: Analysis) -> Column:
@@ -71,6 +73,7 @@ def group_key(df: DataFrame, analysis: Analysis) -> Column:
 def per_entity(df: DataFrame, analysis: Analysis) -> DataFrame:
     """One row per (in_scope, key, entity), NULL key and NULL entity included."""
     analysis.check(df)
+    df = cells.normalised(df, analysis.fields())
     measured = analysis.aggregation in ("sum", "average")
     ratio = analysis.aggregation == "ratio"
     number = cells.number(df, analysis.value) if measured else F.lit(None).cast("double")
@@ -191,6 +194,7 @@ def conflicts(df: DataFrame, analysis: Analysis) -> DataFrame:
     min <> max replaces two distinct counts, so this is one combinable pass.
     """
     analysis.check(df)
+    df = cells.normalised(df, analysis.fields())
     prepared = df.filter(matches_category(df, analysis.denominator)).select(
         group_key(df, analysis).alias("key"),
         cells.identity(df, analysis.entity).alias("entity"),

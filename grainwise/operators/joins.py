@@ -54,9 +54,15 @@ def default_type(cardinality: Column) -> Column:
     return F.when(cardinality == "1:N", F.lit("inner")).otherwise(F.lit("left"))
 
 
-def propose(left: DataFrame, right: DataFrame, on: keys.Pairs, **settings) -> JoinSpec:
-    """Draft spec with the measured cardinality and the defaults that follow from it."""
+def measured(left: DataFrame, right: DataFrame, on: keys.Pairs) -> DataFrame:
+    """The one-row relationship, computed now, to be shared by the steps of a join."""
     rel = keys.relationship(left, right, on)
+    return left.sparkSession.createDataFrame([rel.first()], rel.schema)
+
+
+def propose(left: DataFrame, right: DataFrame, on: keys.Pairs, facts: DataFrame | None = None, **settings) -> JoinSpec:
+    """Draft spec with the measured cardinality and the defaults that follow from it."""
+    rel = measured(left, right, on) if facts is None else facts
     row = rel.select(
         "cardinality", default_type(F.col("cardinality")).alias("how"),
         F.coalesce(recommended_grain(F.col("cardinality")), F.lit("left")).alias("grain"),
@@ -193,12 +199,10 @@ def equi_join(
 
 def controlled_join(
     left: DataFrame, right: DataFrame, spec: JoinSpec, left_alias: str, right_alias: str,
-    versions: tuple[str, str] | None = None,
+    versions: tuple[str, str] | None = None, facts: DataFrame | None = None,
 ) -> DataFrame:
     """The join, refused unless every rule holds on the data as it is now."""
-    spark = left.sparkSession
-    rel = keys.relationship(left, right, spec.pairs)
-    facts = spark.createDataFrame([rel.first()], rel.schema)  # one row, measured once
+    facts = measured(left, right, spec.pairs) if facts is None else facts
     require_passed(validation(facts, spec, versions), "join not allowed")
     nulls = facts.select("left_null_rows").first()[0] > 0
     return equi_join(left, right, spec, left_alias, right_alias, spread_nulls=nulls)
@@ -261,25 +265,30 @@ def distinct_lists(right: DataFrame, right_fields: list[str], fields: list[str],
     Values are made distinct per (key, field, value) first. That shuffle spreads
     a hot key over its values and drops repeats on the map side; only distinct
     values reach the list. Values that differ in case only count as one, shown
-    in its smallest spelling.
+    in its first spelling.
     """
+    right = cells.normalised(right, [*right_fields, *fields])
     parts = keys.key_parts(right, right_fields, tags)
-    names = [p.alias(f"k{i}") for i, p in enumerate(parts)]
-    entries = F.array_compact(F.array(*[
-        F.when(~cells.missing(right, f), F.struct(
-            F.lit(i).alias("slot"), F.lower(cells.text(right, f)).alias("same"), cells.text(right, f).alias("shown")))
-        for i, f in enumerate(fields)
-    ]))
     kn = [f"k{i}" for i in range(len(parts))]
+    entries = [F.struct(F.lit(i).alias("slot"), cells.text(right, f).alias("shown")) for i, f in enumerate(fields)]
     whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in kn])
     values = (
-        right.select(*names, F.inline_outer(entries)).filter(whole)
-        .groupBy(*kn, "slot", "same").agg(F.min("shown").alias("shown"), F.count(F.lit(1)).alias("n"))
+        right.select(*[p.alias(k) for p, k in zip(parts, kn)], F.inline(F.array(*entries)))
+        .filter(whole).distinct()
     )
-    return values.groupBy(*kn).agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("slot") == i, F.col("shown")))).alias(f"v{i}")
+    # a key whose fields are all missing keeps its row: the NULL entries are dropped by collect_list
+    lists = values.groupBy(*kn).agg(*[
+        F.collect_list(F.when((F.col("slot") == i) & F.col("shown").isNotNull(),
+                              F.struct(F.lower("shown").alias("same"), F.col("shown").alias("shown")))).alias(f"v{i}")
         for i in range(len(fields))
     ])
+    return lists.select(*kn, *[_one_spelling(F.array_sort(f"v{i}")).alias(f"v{i}") for i in range(len(fields))])
+
+
+def _one_spelling(pairs: Column) -> Column:
+    """Texts of a list sorted by (lower case, text), the first of each lower case."""
+    fresh = F.filter(pairs, lambda p, i: (i == 0) | (p["same"] != F.get(pairs, i - 1)["same"]))
+    return F.transform(fresh, lambda p: p["shown"])
 
 
 def enrich(

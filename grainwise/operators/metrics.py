@@ -37,16 +37,20 @@ class Metric:
             raise ValueError("a sum or an average needs a value field")
         if self.kind == "ratio" and (self.numerator is None or not self.numerator.enabled):
             raise ValueError("a ratio needs a numerator condition")
-        fields = [self.entity, self.value if self.kind in ("amount", "average") else None]
-        for rule in (self.scope, self.numerator):
-            if rule is not None and rule.enabled:
-                fields.append(rule.field)
-        cells.require(df, fields)
+        cells.require(df, self.fields())
+
+    def fields(self) -> list[str]:
+        """The columns the metric reads."""
+        rules = [self.scope, self.numerator if self.kind == "ratio" else None]
+        names = [self.entity, self.value if self.kind in ("amount", "average") else None]
+        names += [r.field for r in rules if r is not None and r.enabled]
+        return list(dict.fromkeys(n for n in names if n))
 
 
 def per_entity(df: DataFrame, metric: Metric) -> DataFrame:
     """One row per entity of the scope; the NULL entity holds entity-less rows."""
     metric.check(df)
+    df = cells.normalised(df, metric.fields())
     number = cells.number(df, metric.value) if metric.kind in ("amount", "average") else F.lit(None).cast("double")
     hit = matched(df, metric.numerator) if metric.kind == "ratio" else F.lit(False)
     scoped = df.filter(matches(df, metric.scope)) if metric.scope and metric.scope.enabled else df

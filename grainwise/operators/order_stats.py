@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from grainwise.functions.cells import col
 
 BUCKETS = 4096
-ACCURACY = 10_000
+ACCURACY = 1_000
 # Up to this many values the built-in exact percentile is one cheap pass.
 SMALL_COLUMN = 100_000
 
@@ -82,7 +82,8 @@ def _narrow(numbers: DataFrame, brackets: list[_Bracket]) -> None:
         )
         slots.append(F.when(v.between(b.low, b.high), slot))
     histogram = (
-        numbers.select(F.inline(F.array_compact(F.array(*slots))))
+        numbers.select(F.inline(F.array(*slots)))
+        .filter(F.col("target").isNotNull())
         .groupBy("target", "bucket")
         .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
         .collect()

@@ -40,6 +40,7 @@ def column_stats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """
     names = names or df.columns
     cells.require(df, names)
+    df = cells.normalised(df, names)
     classes = df.select(*[cells.cell_class(df, n).alias(f"c{i}") for i, n in enumerate(names)])
     counters = [F.count(F.lit(1)).alias("rows")]
     for i in range(len(names)):
@@ -80,9 +81,11 @@ def distinct_values(df: DataFrame, names: list[str] | None = None) -> DataFrame:
         short = F.when(F.length(raw) <= LONG_VALUE, raw).otherwise(
             F.concat(F.substring(raw, 1, EXAMPLE_LENGTH - 1), F.lit("…"), F.sha2(raw, 256))
         )
-        pairs.append(F.when(~cells.missing(df, name), F.struct(F.lit(name).alias("column"), short.alias("value"))))
+        value = F.when(~cells.missing(df, name), short)
+        pairs.append(F.struct(F.lit(name).alias("column"), value.alias("value")))
     return (
-        df.select(F.inline(F.array_compact(F.array(*pairs))))
+        df.select(F.inline(F.array(*pairs)))
+        .filter(F.col("value").isNotNull())
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
@@ -168,9 +171,11 @@ def fingerprint(df: DataFrame, dataset: str) -> DataFrame:
     """One row naming the exact content of a table, independent of row order.
 
     Three mergeable aggregates over a 64-bit row hash: XOR, wide sum and count.
-    XOR alone would miss a row added twice; the sum does not.
+    XOR alone would miss a row added twice; the sum does not. Each cell is hashed
+    with a NULL flag, because the hash function itself passes over NULLs.
     """
-    digest = F.xxhash64(*[cells.raw_text(df, n) for n in df.columns])
+    texts = [cells.raw_text(df, n) for n in df.columns]
+    digest = F.xxhash64(*[part for c in texts for part in (c.isNull(), c)])
     names = "\u001e".join(df.columns)
     return df.select(digest.alias("h")).agg(
         F.count(F.lit(1)).alias("rows"),

@@ -43,13 +43,11 @@ def identifier_duplicates(df: DataFrame, ids: list[str]) -> DataFrame:
     Values are compared trimmed and without case. Counts are combined per value
     on the map side, so a value on a third of all rows costs one row per task.
     """
-    pairs = [
-        F.when(cells.key_part(df, n).isNotNull(),
-               F.struct(F.lit(n).alias("column"), F.lower(cells.text(df, n)).alias("value")))
-        for n in ids
-    ]
+    df = cells.normalised(df, ids)
+    pairs = [F.struct(F.lit(n).alias("column"), F.lower(cells.text(df, n)).alias("value")) for n in ids]
     return (
-        df.select(F.inline(F.array_compact(F.array(*pairs))))
+        df.select(F.inline(F.array(*pairs)))
+        .filter(F.col("value").isNotNull())
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("column").agg(
             F.count_if(F.col("n") > 1).alias("repeated_values"),

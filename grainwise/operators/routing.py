@@ -16,57 +16,57 @@ from grainwise.functions import cells
 from grainwise.operators.order_stats import SMALL_COLUMN, nearest_rank
 
 # The wording each decision rests on. ---------------------------
-DELIVERY = "(?i)延迟|晚到|配送|送达时间|差评|评价|评论"
+DELIVERY = "延迟|晚到|配送|送达时间|差评|评价|评论"
 CATEGORY = r"(?i)品类|类别|类目|商品类|排名|前五|top\s*5"
-TREND = "(?i)月度|趋势|变化|增长|高点|月份"
-OVERVIEW = "(?i)核心|经营指标|总订单|订单量|送达率|客单价"
+TREND = "月度|趋势|变化|增长|高点|月份"
+OVERVIEW = "核心|经营指标|总订单|订单量|送达率|客单价"
 GROSS_VALUE = "(?i)GMV"
 
-NOT_A_COUNT = "(?i)平均|均值|客单价|人均|比例|占比|转化率|送达率|总额|合计|求和|总金额|金额总"
-HOW_MANY = "(?i)多少|几(?:个|笔|位|条|种)|数量|个数|总数|订单量|订单数|客户数|用户数|商品数"
-DISTINCT = "(?i)去重|唯一|不同|不重复"
-COUNT_ONCE = "(?i)(?:重复|相同).{0,12}(?:只|仅).{0,6}(?:算|计|统计).{0,4}(?:一次|一笔|一个|1次)"
-QUALITY_WORD = "(?i)重复|缺失|异常|质量"
-OBJECT_COUNT = "(?i)订单量|订单数|客户数|用户数|会员数|商品数|业务对象数量"
+NOT_A_COUNT = "平均|均值|客单价|人均|比例|占比|转化率|送达率|总额|合计|求和|总金额|金额总"
+HOW_MANY = "多少|几(?:个|笔|位|条|种)|数量|个数|总数|订单量|订单数|客户数|用户数|商品数"
+DISTINCT = "去重|唯一|不同|不重复"
+COUNT_ONCE = "(?:重复|相同).{0,12}(?:只|仅).{0,6}(?:算|计|统计).{0,4}(?:一次|一笔|一个|1次)"
+QUALITY_WORD = "重复|缺失|异常|质量"
+OBJECT_COUNT = "订单量|订单数|客户数|用户数|会员数|商品数|业务对象数量"
 MANY_OBJECTS = "(?i)(?:多少|几)(?:个|笔|位|条|种)?.{0,8}(?:订单|客户|用户|会员|商品|sku)"
 OBJECTS_MANY = "(?i)(?:订单|客户|用户|会员|商品|sku).{0,8}(?:多少|几(?:个|笔|位|条|种))"
 
 JOIN_WORD = "(?i)关联|合并|连接|join"
 MONEY_WORD = "(?i)金额|销售额|gmv|amount|revenue|price"
-GROWN_WORD = "(?i)放大|变多|变大|多了|增加|翻倍|重复|对不上|不一致"
-ROW_COUNT = "(?i)行数|记录数|数行|明细数"
-ENTITY_COUNT = "(?i)订单数|订单量|对象数|去重|唯一"
-DIFFERENCE = "(?i)不一样|不一致|不同|多|少|为什么|为何|区别|差异"
+GROWN_WORD = "放大|变多|变大|多了|增加|翻倍|重复|对不上|不一致"
+ROW_COUNT = "行数|记录数|数行|明细数"
+ENTITY_COUNT = "订单数|订单量|对象数|去重|唯一"
+DIFFERENCE = "不一样|不一致|不同|多|少|为什么|为何|区别|差异"
 
 RANK_N = r"(?i)前\s*(?:\d+|[一二三四五六七八九十百]+)|top\s*\d+|排名|最高|最低"
-RANK_WHO = "(?i)(?:谁|哪(?:个|些|里|家|类|种)).{0,24}(?:最多|最少|最大|最小)"
+RANK_WHO = "(?:谁|哪(?:个|些|里|家|类|种)).{0,24}(?:最多|最少|最大|最小)"
 RANK_MEASURE = "(?i)(?:金额|销售额|订单量|订单数|数量|amount|gmv).{0,8}(?:最多|最少|最大|最小)"
 
 FORECAST = "(?i)预测|forecast|机器学习|回归|聚类"
-CLEANING = "(?i)清洗|去除重复(?:行|记录|数据)?|删除重复(?:行|记录|数据)?|数据去重|处理缺失|修复日期"
-REPEATED_RECORDS = "(?i)重复(?:的)?(?:订单|记录|编号)|(?:订单|记录|编号).{0,8}重复"
-QUALITY = ("(?i)质量|检查.*(?:异常|缺失|重复)|有哪些.*(?:问题|风险)|能不能用|是否可用|重复统计|算重复|多算|重复值|完全重复")
-PROFILE = "(?i)数据画像|字段结构|字段类型|多少行|多少列|查看字段"
+CLEANING = "清洗|去除重复(?:行|记录|数据)?|删除重复(?:行|记录|数据)?|数据去重|处理缺失|修复日期"
+REPEATED_RECORDS = "重复(?:的)?(?:订单|记录|编号)|(?:订单|记录|编号).{0,8}重复"
+QUALITY = ("质量|检查.*(?:异常|缺失|重复)|有哪些.*(?:问题|风险)|能不能用|是否可用|重复统计|算重复|多算|重复值|完全重复")
+PROFILE = "数据画像|字段结构|字段类型|多少行|多少列|查看字段"
 JOIN = r"(?i)关联|连接|合并|\bjoin\b|(?:品类|类别|分类).{0,12}(?:补到|加到|补充|添加).{0,12}订单"
-TREND_STRONG = "(?i)趋势|月度|按月|同比|环比|随时间|时间变化"
-GROUP = ("(?i)各地区|各区域|各品类|各渠道|(?:比较|对比)(?:不同|各个|各)?(?:地区|区域|渠道|品类)"
+TREND_STRONG = "趋势|月度|按月|同比|环比|随时间|时间变化"
+GROUP = ("各地区|各区域|各品类|各渠道|(?:比较|对比)(?:不同|各个|各)?(?:地区|区域|渠道|品类)"
          "|按[^，。！？]{0,10}(?:地区|区域|品类|渠道|状态)|(?:各(?:种|个)?|不同)(?:订单)?状态|分组|分群")
 METRIC = "(?i)总额|合计|平均|均值|比例|率|销售额|金额|gmv|收入|营收"
 
-RATIO = "(?i)成功率|送达率|送货率|转化率|退款率|取消率|比例|占比|比率|率(?:[，。！？?]|$)"
+RATIO = "成功率|送达率|送货率|转化率|退款率|取消率|比例|占比|比率|率(?:[，。！？?]|$)"
 ORIGINAL = "原始(?:文件|数据|表)|原(?:文件|数据|表)(?:的|中|全部|所有)"
-AVERAGE = "(?i)平均|均值|客单价|人均"
-QUANTITY = "(?i)数量|个数|订单|客户|用户|商品数|去重"
+AVERAGE = "平均|均值|客单价|人均"
+QUANTITY = "数量|个数|订单|客户|用户|商品数|去重"
 MONEY_SUM = "(?i)金额|销售额|gmv|收入|营收"
-QUARTERLY = "(?i)季度|按季"
-WEEKLY = "(?i)按周|周度"
-DAILY = "(?i)按日|每日|日度"
-ASCENDING = "(?i)最低|最少|最小|倒数"
-WHICH_ONE = "(?i)谁|哪个|哪家|哪种"
+QUARTERLY = "季度|按季"
+WEEKLY = "按周|周度"
+DAILY = "按日|每日|日度"
+ASCENDING = "最低|最少|最小|倒数"
+WHICH_ONE = "谁|哪个|哪家|哪种"
 CHINESE_DIGITS = "一二三四五六七八九十"
 
 AMBIGUOUS_AMOUNT = r"(?i)销售金额|销售额|\bgmv\b|收入|营收|金额"
-AMOUNT_SCOPE = "(?i)不含运费|包含运费|含运费|不含退款|包含退款|扣除退款|含税|不含税"
+AMOUNT_SCOPE = "不含运费|包含运费|含运费|不含退款|包含退款|扣除退款|含税|不含税"
 EXPLICIT_MEASURE = (r"(?i)订单(?:量|数)|客户数|用户数|商品数|数量|金额|销售额|gmv|收入|营收|平均|均值|客单价"
                     r"|\b(?:amount|price|sales|revenue|count)\b")
 ORDER_TASK = "(?:订单|送达|送货|配送)"
@@ -100,7 +100,7 @@ def intent(q: Column) -> Column:
 def is_distinct_count(q: Column) -> Column:
     distinct = q.rlike(DISTINCT) | q.rlike(COUNT_ONCE)
     objects = q.rlike(OBJECT_COUNT) | q.rlike(MANY_OBJECTS) | q.rlike(OBJECTS_MANY)
-    return ~q.rlike(NOT_A_COUNT) & ((distinct & q.rlike(HOW_MANY)) | (~q.rlike(QUALITY_WORD) & objects))
+    return ((distinct & q.rlike(HOW_MANY)) | (~q.rlike(QUALITY_WORD) & objects)) & ~q.rlike(NOT_A_COUNT)
 
 
 def is_ranking(q: Column) -> Column:
@@ -129,14 +129,14 @@ def analysis_type(q: Column) -> Column:
     return ordered([
         (q.rlike(FORECAST), "unsupported"),
         (q.rlike(CLEANING), "cleaning"),
-        (is_join_amount_risk(q) | is_row_count_difference(q) | (~distinct & q.rlike(REPEATED_RECORDS)) | q.rlike(QUALITY),
+        (is_join_amount_risk(q) | is_row_count_difference(q) | q.rlike(QUALITY) | (q.rlike(REPEATED_RECORDS) & ~distinct),
          "quality"),
         (q.rlike(PROFILE), "profile"),
         (q.rlike(JOIN), "join"),
         (q.rlike(TREND_STRONG), "trend"),
         (is_ranking(q), "top_n"),
         (q.rlike(GROUP), "group_compare"),
-        (distinct | q.rlike(METRIC), "metric"),
+        (q.rlike(METRIC) | distinct, "metric"),
     ], None)
 
 

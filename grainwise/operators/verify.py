@@ -183,9 +183,7 @@ MEASURES = [
 def verify_metric(df: DataFrame, metric: Metric, primary: DataFrame | None = None) -> DataFrame:
     """(measure, primary, reference, passed): both paths of one metric."""
     primary = metrics.evaluate(df, metric) if primary is None else primary
-    rules = [r.field for r in (metric.scope, metric.numerator) if r is not None and r.enabled]
-    needed = list(dict.fromkeys([metric.entity, *([metric.value] if metric.value else []), *rules]))
-    reference = run_sql(text_table(df, needed), *metric_sql(metric))
+    reference = run_sql(text_table(df, metric.fields()), *metric_sql(metric))
     pair = _long(primary, MEASURES, "primary").join(_long(reference, MEASURES, "reference"), "measure")
     return pair.withColumn("passed", close(F.col("primary"), F.col("reference")))
 
@@ -197,10 +195,7 @@ def verify_groups(df: DataFrame, analysis: Analysis, primary: DataFrame | None =
     too, and it happens before any cut: a wrong group cannot hide below top N.
     """
     primary = grouped.per_group(df, analysis) if primary is None else primary
-    rules = [r.field for r in (analysis.numerator, analysis.denominator) if r is not None and r.enabled]
-    wanted = [analysis.entity, analysis.time if analysis.shape == "trend" else analysis.group, analysis.value, *rules]
-    needed = list(dict.fromkeys(n for n in wanted if n))
-    reference = run_sql(text_table(df, needed), *analysis_sql(analysis))
+    reference = run_sql(text_table(df, analysis.fields()), *analysis_sql(analysis))
     a, b = primary.alias("a"), reference.alias("b")
     same = F.col("a.in_scope").eqNullSafe(F.col("b.in_scope")) & F.col("a.key").eqNullSafe(F.col("b.key"))
     both = a.join(b, same, "full_outer")

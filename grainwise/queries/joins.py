@@ -182,8 +182,9 @@ def _people(t: Tables) -> DataFrame:
     FROM dirty d JOIN cells c USING (event_id) LEFT JOIN people p ON lower(c.customer_id) = lower(p.person)""")
 def join_left(t: Tables) -> DataFrame:
     left, right = dirty_events(t), _people(t)
-    spec = joins.propose(left, right, PERSON).confirm("one row per event")
-    joined = joins.controlled_join(left, right, spec, "e", "p")
+    facts = joins.measured(left, right, PERSON)
+    spec = joins.propose(left, right, PERSON, facts).confirm("one row per event")
+    joined = joins.controlled_join(left, right, spec, "e", "p", facts=facts)
     return joined.select("e__event_id", joins.cells.text(joined, "e__region").alias("region"), "p__person", "p__visits",
                          "matched")
 

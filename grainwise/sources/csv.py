@@ -63,14 +63,14 @@ def header_survey(rows: DataFrame) -> DataFrame:
     is recognised by distinct, non-repeated texts and by the words it uses;
     later rows are slightly penalised and the first best row wins.
     """
-    present_somewhere = F.exists("cells", lambda c: F.coalesce(cells.trimmed(c) != "", F.lit(False)))
+    present_somewhere = cells.trimmed(F.array_join("cells", "")) != ""
     place = Window.partitionBy("file").orderBy("place")
     head = (
         rows.filter(present_somewhere)
         .withColumn("row", F.row_number().over(place) - 1)
         .filter(F.col("row") < HEADER_ROWS)
     )
-    texts = F.array_compact(F.transform("cells", lambda c: cells.present_text(c)))
+    texts = F.filter(F.transform("cells", lambda c: cells.present_text(c)), lambda c: c.isNotNull())
     scored = head.withColumn("texts", texts).filter(F.size("texts") > 0).withColumns({
         "present": F.size("texts"),
         "unique": F.size(F.array_distinct("texts")),
