@@ -54,7 +54,7 @@ def redact(df: DataFrame) -> DataFrame:
     A list becomes its length plus its items, the first three when it is long.
     """
     kept = [f for f in df.schema.fields if not hidden(f.name)]
-    return df.select(*[_scrub(cells.col(f.name), f.dataType, 0).alias(f.name) for f in kept])
+    return df.select(*[_scrub(cells.col(f.name), f.dataType, 1).alias(f.name) for f in kept])
 
 
 def checksum(names: list[str]) -> Column:

@@ -116,14 +116,16 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", header: bool
     value are dropped. ``multiLine`` makes a file the unit of parallelism, so
     large inputs should come as many files.
     """
-    raw = (
-        spark.read.option("header", header).option("sep", delimiter).option("quote", '"').option("escape", '"')
-        .option("multiLine", True).option("inferSchema", False).option("enforceSchema", False)
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
+    reader = (
+        spark.read.option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", True)
+        .option("inferSchema", False).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     )
-    names = clean_names([n.lstrip("﻿") for n in raw.columns]) if header else raw.columns
-    return drop_empty_rows(raw.toDF(*names))
+    raw = reader.option("header", header).csv(path)
+    if header:
+        # the reader renames blank and repeated names itself, so they are read as a row
+        first = reader.option("header", False).csv(path).first()
+        raw = raw.toDF(*clean_names([(n or "").lstrip("\ufeff") for n in first]))
+    return drop_empty_rows(raw)
 
 
 def drop_empty_rows(df: DataFrame) -> DataFrame:
