@@ -107,13 +107,13 @@ def trend_week(t: Tables) -> DataFrame:
 
 
 def _native_trend_sql(label: str) -> str:
-    return f"""SELECT {label} AS key, round(sum(o_totalprice) / count(DISTINCT o_custkey), 2) AS value,
+    return f"""SELECT {label} AS key, round(sum(o_totalprice), 2) AS value,
       count(*) AS source_rows, count(DISTINCT o_custkey) AS distinct_entities, CAST(0 AS BIGINT) AS invalid_value_rows
       FROM orders GROUP BY 1"""
 
 
 def _native_trend(t: Tables, grain: str) -> DataFrame:
-    wanted = Analysis("trend", "average", "o_custkey", time="o_orderdate", grain=grain, value="o_totalprice")
+    wanted = Analysis("trend", "sum", "o_custkey", time="o_orderdate", grain=grain, value="o_totalprice")
     return rounded(grouped.analyse(t.orders, wanted), 2)
 
 
@@ -127,12 +127,9 @@ def trend_quarter(t: Tables) -> DataFrame:
     return _native_trend(t, "quarter")
 
 
-@query("trend_iso_week", "G8", """SELECT strftime(o_orderdate, '%G-W%V') AS key, round(sum(o_totalprice), 2) AS value,
-    count(*) AS source_rows, count(DISTINCT o_custkey) AS distinct_entities, CAST(0 AS BIGINT) AS invalid_value_rows
-    FROM orders GROUP BY 1""")
+@query("trend_iso_week", "G8", _native_trend_sql("strftime(o_orderdate, '%G-W%V')"))
 def trend_iso_week(t: Tables) -> DataFrame:
-    wanted = Analysis("trend", "sum", "o_custkey", time="o_orderdate", grain="week", value="o_totalprice")
-    return rounded(grouped.analyse(t.orders, wanted), 2)
+    return _native_trend(t, "week")
 
 
 def _rank_sql(direction: str, n: int) -> str:
