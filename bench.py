@@ -27,12 +27,11 @@ from grainwise.session import configure  # noqa: E402
 HEADLINE = [
     "profile_types", "profile_columns", "quality_duplicate_rows", "quality_iqr_outliers", "quality_issues",
     "clean_dedupe", "clean_receipt", "metric_amount", "metric_ratio", "metric_native",
-    "group_count", "group_sum", "group_average", "group_ratio", "ratio_conflicts",
-    "trend_day", "trend_week", "trend_month", "top_n", "rank_share",
-    "relationship_profile", "join_left", "join_inner", "join_reconcile", "join_enrichment", "join_steps", "join_lineage",
+    "group_count", "group_sum", "group_ratio", "ratio_conflicts", "trend_week", "trend_month", "top_n",
+    "relationship_profile", "join_left", "join_inner", "join_reconcile", "join_enrichment", "join_lineage",
     "retail_kpis", "retail_monthly", "retail_category_rank", "retail_delivery_review",
-    "verify_metric", "verify_group", "rate_window", "alert_transitions", "transition_validity", "write_outcomes",
-    "analysis_route", "record_checksum",
+    "verify_group", "rate_window", "alert_transitions", "transition_validity", "write_outcomes", "analysis_route",
+    "record_checksum",
 ]
 RUNS = 3
 

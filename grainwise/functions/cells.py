@@ -164,7 +164,10 @@ def day(df: DataFrame, name: str) -> Column:
         return c.cast("date")
     if kind != "text":
         return F.lit(None).cast("date")
-    t = _trimmed(df, name)
+    return day_of_text(_trimmed(df, name))
+
+
+def day_of_text(t: Column) -> Column:
     head = F.translate(F.regexp_extract(t, DAY_PATTERN, 0), "/", "-").try_cast("date")
     clock_ok = ~t.rlike("[ T]") | F.translate(t, "/", "-").try_cast("timestamp").isNotNull()
     # only a separator in fifth place is worth the pattern
@@ -178,11 +181,15 @@ def cell_class(df: DataFrame, name: str) -> Column:
     if kind != "text":
         label = "text" if kind == "other" else kind
         return F.when(c.isNotNull(), F.lit(label))
-    t = text(df, name)
+    return class_of_text(text(df, name))
+
+
+def class_of_text(t: Column) -> Column:
+    """Class of a normalised text; NULL stays NULL."""
     return (
         F.when(t.isNull(), F.lit(None).cast("string"))
         .when(t.rlike(NUMBER_PATTERN), F.lit("number"))
-        .when(day(df, name).isNotNull(), F.lit("date"))
+        .when(day_of_text(t).isNotNull(), F.lit("date"))
         .when(F.lower(t).isin(BOOLEAN_WORDS), F.lit("boolean"))
         .otherwise(F.lit("text"))
     )

@@ -35,35 +35,37 @@ def looks_like_date(name: str) -> bool:
 def column_stats(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One row per column: rows, missing, cells per class, inferred type.
 
-    All columns are measured in a single aggregate over one scan; what crosses
-    the shuffle is one row of counters per partition, whatever the table size.
+    One scan. Each row is unfolded into its cells, a single expression classifies
+    them, and the counts are combined before the shuffle: what travels is one row
+    of counters per column and task. The generated code stays the same size
+    however wide the table is.
     """
     names = names or df.columns
     cells.require(df, names)
-    df = cells.normalised(df, names)
-    classes = df.select(*[cells.cell_class(df, n).alias(f"c{i}") for i, n in enumerate(names)])
-    counters = [F.count(F.lit(1)).alias("rows")]
-    for i in range(len(names)):
-        counters += [F.count_if(F.col(f"c{i}") == kind).alias(f"{kind}{i}") for kind in cells.CLASSES]
-    per_column = F.array(*[
-        F.struct(
-            F.lit(name).alias("column"), F.lit(i).cast("bigint").alias("position"), F.col("rows"),
-            *[F.col(f"{kind}{i}").alias(f"{kind}_cells") for kind in cells.CLASSES],
-        )
-        for i, name in enumerate(names)
-    ])
-    counts = [F.col(f"{kind}_cells") for kind in cells.CLASSES]
-    present = counts[0] + counts[1] + counts[2] + counts[3]
+    entries = []
+    for i, name in enumerate(names):
+        text = cells.is_text(df, name)
+        entries.append(F.struct(
+            F.lit(i).cast("bigint").alias("position"),
+            (cells.text(df, name) if text else F.lit(None).cast("string")).alias("cell"),
+            (F.lit(None).cast("string") if text else cells.cell_class(df, name)).alias("class"),
+        ))
+    classed = df.select(F.inline(F.array(*entries))).select(
+        "position", F.coalesce("class", cells.class_of_text(F.col("cell"))).alias("class")
+    )
+    column = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("position") + 1).cast("int"))
     inferred = F.when(F.col("present") == 0, F.lit("empty"))
     for kind in cells.CLASSES:
         inferred = inferred.when(F.col(f"{kind}_cells") == F.col("present"), F.lit(kind))
-    return (
-        classes.agg(*counters)
-        .select(F.inline(per_column))
-        .withColumn("present", present)
-        .withColumn("missing", F.col("rows") - F.col("present"))
-        .withColumn("missing_rate", cells.safe_divide(F.col("missing"), F.col("rows")))
-        .withColumn("inferred_type", inferred.otherwise(F.lit("mixed")))
+    return classed.groupBy("position").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count_if(F.col("class") == kind).alias(f"{kind}_cells") for kind in cells.CLASSES],
+        F.count("class").alias("present"),
+    ).select(
+        column.alias("column"), "position", "rows", *[f"{kind}_cells" for kind in cells.CLASSES], "present",
+        (F.col("rows") - F.col("present")).alias("missing"),
+        cells.safe_divide(F.col("rows") - F.col("present"), F.col("rows")).alias("missing_rate"),
+        inferred.otherwise(F.lit("mixed")).alias("inferred_type"),
     )
 
 

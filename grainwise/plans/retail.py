@@ -64,22 +64,26 @@ def order_amounts(r: Retail) -> DataFrame:
     return r.items.groupBy("order_id").agg(F.sum("price").alias("gmv"), F.sum("freight").alias("freight"))
 
 
+def _delivered(r: Retail) -> DataFrame:
+    return scoped_orders(r).filter(F.col("status") == DELIVERED)
+
+
+def delivered_amounts(r: Retail) -> DataFrame:
+    """Delivered orders with their item totals; has_items marks those with any."""
+    amounts = order_amounts(r).withColumn("has_items", F.lit(True))
+    return _delivered(r).join(amounts, "order_id", "left").withColumn("has_items", F.coalesce("has_items", F.lit(False)))
+
+
 def delivered_orders(r: Retail, strict: bool = False) -> DataFrame:
     """Delivered orders with their item totals and buyer, one row per order.
 
     ``strict`` fails the job when orders or customers repeat their key; the same
     facts are otherwise reported by ``validations``.
     """
-    orders = scoped_orders(r).filter(F.col("status") == DELIVERED)
-    customers = r.customers
+    orders, customers = delivered_amounts(r), r.customers
     if strict:
         orders, customers = keys.assert_unique(orders, ["order_id"]), keys.assert_unique(customers, ["customer_id"])
-    amounts = order_amounts(r).withColumn("has_items", F.lit(True))
-    return (
-        orders.join(amounts, "order_id", "left")
-        .withColumn("has_items", F.coalesce("has_items", F.lit(False)))
-        .join(customers, "customer_id", "left")
-    )
+    return orders.join(customers, "customer_id", "left")
 
 
 def days_between(later: Column, earlier: Column) -> Column:
@@ -90,13 +94,13 @@ def days_between(later: Column, earlier: Column) -> Column:
 def kpis(r: Retail) -> DataFrame:
     """One row: orders, delivery, buyers, value, average order, delivery days.
 
-    Delivered orders have one row per order, so orders are counted by folding
-    on the order key once; the buyer count is its own combinable pass.
+    Three passes that read only what they need: order ids for the total,
+    customers for the buyers, items for the value.
     """
-    total = scoped_orders(r).groupBy("order_id").agg(F.lit(1).alias("x")).agg(F.count(F.lit(1))).scalar()
-    delivered = delivered_orders(r)
-    buyers = delivered.groupBy("buyer_id").agg(F.lit(1).alias("x")).agg(F.count("buyer_id")).scalar()
-    per_order = delivered.groupBy("order_id").agg(
+    total = scoped_orders(r).select("order_id").distinct().agg(F.count("order_id")).scalar()
+    customers = _delivered(r).select("customer_id").distinct()
+    buyers = customers.join(r.customers, "customer_id").select("buyer_id").distinct().agg(F.count("buyer_id")).scalar()
+    per_order = delivered_amounts(r).groupBy("order_id").agg(
         F.sum("gmv").alias("gmv"),
         F.sum(days_between(F.col("delivered_at"), F.col("purchased_at"))).alias("days"),
         F.count("delivered_at").alias("dated"),
@@ -128,8 +132,7 @@ def monthly(r: Retail) -> DataFrame:
 
     everything = count_orders(scoped_orders(r).withColumn("gmv", F.lit(0.0)), "all_orders")
     done = count_orders(
-        scoped_orders(r).filter(F.col("status") == DELIVERED).join(order_amounts(r), "order_id", "left"),
-        "delivered_orders", F.coalesce(F.sum("gmv"), F.lit(0.0)).alias("gmv"),
+        delivered_amounts(r), "delivered_orders", F.coalesce(F.sum("gmv"), F.lit(0.0)).alias("gmv"),
     )
     return done.join(everything, "month", "left").select(
         "month", "all_orders", "delivered_orders", F.round("gmv", 2).alias("product_gmv"),
@@ -143,7 +146,7 @@ def categories(r: Retail) -> DataFrame:
     Items are folded to (order, product) before the category lookup, which keeps
     a best-selling product from dominating the join.
     """
-    delivered = scoped_orders(r).filter(F.col("status") == DELIVERED).select("order_id")
+    delivered = _delivered(r).select("order_id")
     lines = (
         r.items.join(delivered, "order_id", "left_semi")
         .groupBy("order_id", "product_id")
@@ -182,9 +185,7 @@ def review_flags(r: Retail) -> DataFrame:
 
 
 def reviewed_deliveries(r: Retail) -> DataFrame:
-    orders = scoped_orders(r).filter(
-        (F.col("status") == DELIVERED) & F.col("delivered_at").isNotNull() & F.col("promised_at").isNotNull()
-    )
+    orders = _delivered(r).filter(F.col("delivered_at").isNotNull() & F.col("promised_at").isNotNull())
     return orders.join(review_flags(r), "order_id").withColumn(
         "delivery", F.when(F.col("delivered_at") > F.col("promised_at"), F.lit(LATE)).otherwise(F.lit(ON_TIME))
     )
@@ -244,7 +245,7 @@ def validations(r: Retail) -> DataFrame:
     def repeats(df: DataFrame, *key: str) -> DataFrame:
         return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(surplus)
 
-    delivered = delivered_orders(r)
+    delivered = delivered_amounts(r)
     unmatched = delivered.agg(F.count_if(~F.col("has_items")).alias("n"))
     undated = r.orders.agg(F.count_if(F.col("purchased_at").isNull()).alias("n"))
     total = delivered.agg(F.coalesce(F.sum("gmv"), F.lit(0.0))).scalar()

@@ -67,8 +67,9 @@ def header_survey(rows: DataFrame) -> DataFrame:
     place = Window.partitionBy("file").orderBy("place")
     head = (
         rows.filter(present_somewhere)
-        .withColumn("row", F.row_number().over(place) - 1)
-        .filter(F.col("row") < HEADER_ROWS)
+        .withColumn("nth", F.row_number().over(place))
+        .filter(F.col("nth") <= HEADER_ROWS)
+        .withColumn("row", F.col("nth") - 1)
     )
     texts = F.filter(F.transform("cells", lambda c: cells.present_text(c)), lambda c: c.isNotNull())
     scored = head.withColumn("texts", texts).filter(F.size("texts") > 0).withColumns({
