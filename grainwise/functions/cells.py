@@ -169,7 +169,8 @@ def day(df: DataFrame, name: str) -> Column:
 
 def day_of_text(t: Column) -> Column:
     head = F.translate(F.regexp_extract(t, DAY_PATTERN, 0), "/", "-").try_cast("date")
-    clock_ok = ~t.rlike("[ T]") | F.translate(t, "/", "-").try_cast("timestamp").isNotNull()
+    clockless = ~(F.contains(t, F.lit(" ")) | F.contains(t, F.lit("T")))
+    clock_ok = clockless | F.translate(t, "/", "-").try_cast("timestamp").isNotNull()
     # only a separator in fifth place is worth the pattern
     return F.when(F.substring(t, 5, 1).isin("-", "/"), F.when(clock_ok, head))
 
@@ -195,18 +196,26 @@ def class_of_text(t: Column) -> Column:
     )
 
 
-def bucket(d: Column, grain: str) -> Column:
-    """Sortable label of the period a day falls in; weeks are ISO weeks."""
+def period(d: Column, grain: str) -> Column:
+    """First day of the period a day falls in; weeks start on Monday (ISO)."""
+    if grain not in GRAINS:
+        raise ValueError(f"time grain must be one of {GRAINS}, not {grain!r}")
+    return d if grain == "day" else F.trunc(d, grain)
+
+
+def period_label(start: Column, grain: str) -> Column:
+    """Sortable label of a period, from any of its days.
+
+    Formatting is slow, so operators group by ``period`` and label the groups.
+    """
     if grain == "day":
-        return F.date_format(d, "yyyy-MM-dd")
+        return F.date_format(start, "yyyy-MM-dd")
     if grain == "week":
-        label = F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), d), F.weekofyear(d))
-        return F.when(d.isNotNull(), label)
+        label = F.format_string("%d-W%02d", F.extract(F.lit("YEAROFWEEK"), start), F.weekofyear(start))
+        return F.when(start.isNotNull(), label)
     if grain == "month":
-        return F.date_format(d, "yyyy-MM")
-    if grain == "quarter":
-        return F.concat(F.date_format(d, "yyyy"), F.lit("-Q"), F.quarter(d).cast("string"))
-    raise ValueError(f"time grain must be one of {GRAINS}, not {grain!r}")
+        return F.date_format(start, "yyyy-MM")
+    return F.concat(F.date_format(start, "yyyy"), F.lit("-Q"), F.quarter(start).cast("string"))
 
 
 def row_digest(df: DataFrame, names: list[str] | None = None) -> Column:

@@ -65,9 +65,18 @@ class Analysis:
 
 
 def group_key(df: DataFrame, analysis: Analysis) -> Column:
+    """What rows are grouped by: the first day of a period, or the native or text value."""
     if analysis.shape == "trend":
-        return cells.bucket(cells.day(df, analysis.time), analysis.grain)
-    return cells.text(df, analysis.group)
+        return cells.period(cells.day(df, analysis.time), analysis.grain)
+    return cells.identity(df, analysis.group)
+
+
+def key_label(df: DataFrame, analysis: Analysis) -> Column:
+    """The text a group is shown under, from its key; made once per group, not per row."""
+    if analysis.shape == "trend":
+        return cells.period_label(F.col("key"), analysis.grain)
+    native = df.select(cells.col(analysis.group).alias("key"))
+    return F.col("key") if cells.is_text(df, analysis.group) else cells.raw_text(native, "key")
 
 
 def per_entity(df: DataFrame, analysis: Analysis) -> DataFrame:
@@ -112,7 +121,7 @@ def per_group(df: DataFrame, analysis: Analysis) -> DataFrame:
     measured = analysis.aggregation in ("sum", "average")
     ratio = analysis.aggregation == "ratio"
     nothing = F.lit(None).cast("bigint")
-    return per_entity(df, analysis).groupBy("in_scope", "key").agg(
+    groups = per_entity(df, analysis).groupBy("in_scope", "key").agg(
         value.alias("value"),
         F.sum("rows").alias("source_rows"),
         entities.alias("distinct_entities"),
@@ -121,6 +130,7 @@ def per_group(df: DataFrame, analysis: Analysis) -> DataFrame:
         (hits if ratio else nothing).alias("numerator"),
         (entities if ratio else nothing).alias("denominator"),
     )
+    return groups.withColumn("key", key_label(df, analysis))
 
 
 def _finite() -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from grainwise.functions import cells
 from grainwise.operators import keys
 from grainwise.operators.metrics import check_rows
+from grainwise.session import settled
 
 SALTS = 64
 JOIN_TYPES = ("left", "inner")
@@ -56,8 +57,7 @@ def default_type(cardinality: Column) -> Column:
 
 def measured(left: DataFrame, right: DataFrame, on: keys.Pairs) -> DataFrame:
     """The one-row relationship, computed now, to be shared by the steps of a join."""
-    rel = keys.relationship(left, right, on)
-    return left.sparkSession.createDataFrame([rel.first()], rel.schema)
+    return settled(keys.relationship(left, right, on))
 
 
 def propose(left: DataFrame, right: DataFrame, on: keys.Pairs, facts: DataFrame | None = None, **settings) -> JoinSpec:

@@ -9,6 +9,7 @@ from grainwise.functions import cells
 from grainwise.operators import order_stats
 from grainwise.operators.metrics import check_rows
 from grainwise.operators.profile import column_stats, looks_like_date, looks_like_identifier
+from grainwise.session import settled
 
 # Fixed values.
 MINIMUM_VALUES = 8  # fewer numeric values than this and the outlier check is skipped
@@ -163,12 +164,14 @@ def issues(
     """All findings on a table, one row each.
 
     Three scans: one for the column counters, one that shuffles row digests,
-    one that shuffles identifier values; plus the quartile passes. Which columns
-    are numeric is read back from the counters (one row per column).
+    one that shuffles identifier values; plus the quartile passes. The counters
+    (one row per column) are read back once, because they tell which columns are
+    numeric, and reused from there.
     """
     names = names or df.columns
     ids, dates = resolve_roles(df, names, ids, dates)
     stats = column_stats(df, names) if stats is None else stats
+    stats = settled(stats)
     duplicates = duplicate_rows(df.select(*[cells.col(n) for n in names])).filter("surplus_rows > 0").select(*_issue(
         F.lit("duplicate-rows"), "duplicate_rows", F.lit("high"), F.lit(None), F.col("surplus_rows"), F.col("share"),
         "deduplicate_exact",

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainwise.functions import cells
 from grainwise.operators.profile import column_stats
-from grainwise.queries.base import TABLE_NAMES, Tables, query, trim, txt
+from grainwise.queries.base import TABLE_NAMES, Tables, query, rounded, trim, txt
+from grainwise.session import scratch_path
 from grainwise.sources import csv, sinks
 
 
@@ -114,3 +116,29 @@ def trimmed_text(t: Tables) -> DataFrame:
     df = t.documents
     return df.select("doc_id", F.length(cells.trimmed(F.col("text"))).cast("bigint").alias("length"),
                      cells.missing(df, "text").alias("missing"))
+
+
+@query("csv_round_trip", "S1 S8", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, length(text) AS length, md5(text) AS digest
+    FROM documents""")
+def csv_round_trip(t: Tables) -> DataFrame:
+    """All documents written as CSV and scanned back: quotes, commas and line breaks survive."""
+    path = scratch_path(t.spark, "documents")
+    sinks.write_csv(t.documents.select("doc_id", "lang", "text"), path, guard=False)
+    back = csv.read_csv(t.spark, path)
+    return back.select("doc_id", "lang", F.length("text").cast("bigint").alias("length"), F.md5("text").alias("digest"))
+
+
+@query("csv_typed_scan", "S6", """SELECT o_orderstatus, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS orders,
+    round(sum(o_totalprice), 2) AS amount FROM orders GROUP BY ALL""")
+def csv_typed_scan(t: Tables) -> DataFrame:
+    """Orders as CSV, scanned with a schema that names three of the six columns."""
+    folder = scratch_path(t.spark, "tables")
+    sinks.write_csv(t.orders, f"{folder}/orders.csv", guard=False)
+    schema = T.StructType([
+        T.StructField("o_orderstatus", T.StringType()), T.StructField("o_totalprice", T.DoubleType()),
+        T.StructField("o_orderdate", T.TimestampType()),
+    ])
+    orders = csv.scan_tables(t.spark, folder, {"orders": schema})["orders"]
+    found = orders.groupBy("o_orderstatus", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("amount"))
+    return rounded(found, 2)
