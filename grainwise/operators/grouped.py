@@ -104,6 +104,10 @@ def per_entity(df: DataFrame, analysis: Analysis) -> DataFrame:
 def per_group(df: DataFrame, analysis: Analysis) -> DataFrame:
     """One row per (in_scope, key): the value and its accounting, nothing dropped.
 
+    ``listed`` marks the groups of the result. It is an aggregate on purpose: a
+    filter on the key itself would be pushed below both aggregations, where it
+    evaluates the whole key expression a second time for every row.
+
     In a grouped average, a row without an entity is invalid and adds nothing.
     """
     known = F.col("entity").isNotNull()
@@ -122,6 +126,7 @@ def per_group(df: DataFrame, analysis: Analysis) -> DataFrame:
     ratio = analysis.aggregation == "ratio"
     nothing = F.lit(None).cast("bigint")
     groups = per_entity(df, analysis).groupBy("in_scope", "key").agg(
+        F.max(F.col("in_scope") & F.col("key").isNotNull()).alias("listed"),
         value.alias("value"),
         F.sum("rows").alias("source_rows"),
         entities.alias("distinct_entities"),
@@ -139,7 +144,7 @@ def _finite() -> Column:
 
 
 def _inside() -> Column:
-    return F.col("in_scope") & F.col("key").isNotNull()
+    return F.col("listed")
 
 
 RESULT = ("key", "value", "source_rows", "distinct_entities", "invalid_value_rows")
@@ -205,20 +210,23 @@ def conflicts(df: DataFrame, analysis: Analysis) -> DataFrame:
     """
     analysis.check(df)
     df = cells.normalised(df, analysis.fields())
-    prepared = df.filter(matches_category(df, analysis.denominator)).select(
-        group_key(df, analysis).alias("key"),
+    prepared = df.select(
         cells.identity(df, analysis.entity).alias("entity"),
+        F.when(matches_category(df, analysis.denominator), group_key(df, analysis)).alias("key"),
         matches_category(df, analysis.numerator).alias("hit"),
     )
+    placed = F.col("key").isNotNull()
+    hit = F.when(placed, F.col("hit"))
     return (
-        prepared.filter(F.col("key").isNotNull() & F.col("entity").isNotNull())
-        .groupBy("entity")
+        prepared.groupBy("entity")
         .agg(
             (F.min("key") != F.max("key")).alias("many_groups"),
-            (F.min("hit") != F.max("hit")).alias("many_outcomes"),
-            F.count(F.lit(1)).alias("rows"),
+            (F.min(hit) != F.max(hit)).alias("many_outcomes"),
+            F.count_if(placed).alias("rows"),
+            F.max(F.col("entity").isNotNull()).alias("known"),
         )
-        .filter(F.col("many_groups") | F.col("many_outcomes"))
+        .filter(F.col("known") & (F.col("many_groups") | F.col("many_outcomes")))
+        .drop("known")
     )
 
 
