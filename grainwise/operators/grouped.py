@@ -81,7 +81,6 @@ def key_label(df: DataFrame, analysis: Analysis) -> Column:
 
 def per_entity(df: DataFrame, analysis: Analysis) -> DataFrame:
     """One row per (in_scope, key, entity), NULL key and NULL entity included."""
-    analysis.check(df)
     df = cells.normalised(df, analysis.fields())
     measured = analysis.aggregation in ("sum", "average")
     ratio = analysis.aggregation == "ratio"
@@ -110,6 +109,7 @@ def per_group(df: DataFrame, analysis: Analysis) -> DataFrame:
 
     In a grouped average, a row without an entity is invalid and adds nothing.
     """
+    analysis.check(df)
     known = F.col("entity").isNotNull()
     hits = F.count_if(known & F.col("hit"))
     entities = F.count("entity")

@@ -49,7 +49,6 @@ class Metric:
 
 def per_entity(df: DataFrame, metric: Metric) -> DataFrame:
     """One row per entity of the scope; the NULL entity holds entity-less rows."""
-    metric.check(df)
     df = cells.normalised(df, metric.fields())
     number = cells.number(df, metric.value) if metric.kind in ("amount", "average") else F.lit(None).cast("double")
     hit = matched(df, metric.numerator) if metric.kind == "ratio" else F.lit(False)
@@ -72,6 +71,7 @@ def evaluate(df: DataFrame, metric: Metric, source_rows: int | Column | None = N
     ``value`` is NULL, never zero, when nothing was measurable. In a sum and in
     the plain average, rows without an entity still add to the total.
     """
+    metric.check(df)
     known = F.col("entity").isNotNull()
     value = {
         "count": F.count("entity").cast("double"),
