@@ -1,0 +1,72 @@
+import hashlib
+import random
+import re
+
+from conftest_llm import EDGES, FOLDER, frame
+
+from grainwise.llm import pii
+from grainwise.llm.queries import QUERIES
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def base(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+    return out + [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(digits(m.group())) <= 15]
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(11)
+    parts = ["a", "b.c", "@", ".", "1", "25", "255", "300", "0007", " ", "-", "+", "+1", "(499) ", "555-6503", "4111 1111 1111 1111", "x@y.z", "é", "%", "192.168.1.1"]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 25)))
+        assert pii.base_spans(text) == base(text), text
+    long = "a" * 200_000 + "@ " + "1" * 50_000 + " +" + " " * 50_000
+    assert pii.base_spans(long) == []
+
+
+def test_vote_weights_and_added_spans(llm):
+    good = [f"please call phone (212) 555-0{i:03d} now" for i in range(40)] + [f"password={i:04d}abcdef{i}" for i in range(30)]
+    noise = [f"plain words {i}" for i in range(20)]
+    docs = frame(llm, [*good, *noise, *EDGES])
+    model = pii.learn(docs)
+    rows = {r["doc_id"]: r for r in pii.find(docs, model).collect()}
+    assert [s["kind"] for s in rows[0]["spans"]] == ["phone"] and not rows[0]["base"]
+    assert [s["kind"] for s in rows[45]["spans"]] == ["secret"]
+    assert not rows[75]["spans"]
+    assert all({(s["kind"], s["begin"], s["until"]) for s in r["base"]} <= {(s["kind"], s["begin"], s["until"]) for s in r["spans"]} for r in rows.values())
+    assert model.reliability["phone", 2][1][0] > 0
+
+
+def test_no_candidates_and_empty_tables(llm):
+    docs = frame(llm, [None, "", "nothing here"])
+    assert [r["spans"] for r in pii.find(docs, pii.learn(docs)).collect()] == [[], [], []]
+    assert pii.find(docs.limit(0), pii.learn(docs.limit(0))).count() == 0
+
+
+def test_redaction():
+    assert pii.redact("mail a@b.cd or call", [("email", 5, 11), ("phone", 7, 9)]) == "mail [EMAIL] or call"
+
+
+def test_query(llm):
+    texts = {r["doc_id"]: r["text"] for r in llm.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    for r in QUERIES["op5_pii"](llm, FOLDER).collect():
+        want = base(texts[r["doc_id"]] or "")
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r["base_sha256"] == hashlib.sha256(listed.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x[0] == k for x in want) for k in pii.BASE]
+        assert set(filter(None, listed.split(","))) <= set(filter(None, r["spans"].split(",")))
