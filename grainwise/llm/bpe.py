@@ -126,15 +126,12 @@ def _stitched(docs: DataFrame, ranks_file: str, pattern: str, chunk: int, overla
            .withColumn("lost", F.sum(((F.col("seq") > 0) & F.col("meet").isNull()).cast("int")).over(order)))
     right_again = F.max(F.col("sure") <= F.col("meet")).over(Window.partitionBy(*KEY, "lost").orderBy("seq"))
     begin = F.when(F.col("seq") == 0, F.lit(0).cast("bigint")).when((F.col("lost") == 0) | right_again, F.col("meet"))
-    cuts = (met.select(*KEY, "seq", begin.alias("begin"))
-            .withColumn("piece", F.sum(F.col("begin").isNotNull().cast("int")).over(order)))
-    ends = cuts.filter("begin IS NOT NULL").select(
-        *[F.col(k).alias(f"{k}2") for k in KEY], F.col("piece").alias("piece2"), F.col("begin").alias("first"),
-        F.coalesce(F.lead("begin").over(order), F.col("chars")).alias("until"))
-    pieces = (marked.select(*KEY, "seq", "part", "copies")
-              .join(cuts.select(*[F.col(k).alias(f"{k}1") for k in KEY], F.col("seq").alias("seq1"), "piece"),
-                    _same(KEY, "1") & (F.col("seq") == F.col("seq1")))
-              .join(ends, _same(KEY, "2") & (F.col("piece") == F.col("piece2")))
+    # Where the piece of a chunk begins and ends: the last cut up to the chunk and the first one after it.
+    plan = met.select(*KEY, "seq", begin.alias("begin")).select(
+        *[F.col(k).alias(f"{k}1") for k in KEY], F.col("seq").alias("seq1"),
+        F.sum(F.col("begin").isNotNull().cast("int")).over(order).alias("piece"), F.max("begin").over(order).alias("first"),
+        F.coalesce(F.min("begin").over(order.rowsBetween(1, Window.unboundedFollowing)), F.col("chars")).alias("until"))
+    pieces = (marked.select(*KEY, "seq", "part", "copies").join(plan, _same(KEY, "1") & (F.col("seq") == F.col("seq1")))
               .select(*KEY, "seq", "part", "copies", "piece", "first", "until"))
 
     def encode_piece(rows: pd.DataFrame) -> pd.DataFrame:
@@ -144,7 +141,7 @@ def _stitched(docs: DataFrame, ranks_file: str, pattern: str, chunk: int, overla
         texts, seqs = rows["part"].tolist(), rows["seq"].tolist()
         text = "".join(t[: step] for t in texts[:-1]) + texts[-1]
         begin = seqs[0] * step
-        found = np.array(encoder.encode_ordinary(text[first - begin: until - begin]), dtype=np.uint32)
+        found = np.array(encoder.encode_ordinary(text[first - begin: until - begin]), dtype=_width(words))
         out = rows[[*KEY, "copies", "piece"]].iloc[:1].copy()
         out["ids"] = [found.tobytes()]
         return out
@@ -153,7 +150,7 @@ def _stitched(docs: DataFrame, ranks_file: str, pattern: str, chunk: int, overla
 
     def join_pieces(rows: pd.DataFrame) -> pd.DataFrame:
         _, words = _cached(ranks_file, pattern)
-        found = np.frombuffer(b"".join(rows.sort_values("piece")["ids"]), np.uint32).tolist()
+        found = np.frombuffer(b"".join(rows.sort_values("piece")["ids"]), _width(words)).tolist()
         names = [str(i) for i in range(len(words))] if len(found) > 4 * len(words) else {i: str(i) for i in set(found)}
         coded, decoded = _digests(found, words, names)
         out = {"doc_id": rows["doc_id"].iloc[:1], "n_tokens": len(found), "ids_sha256": coded, "decoded_sha256": decoded, "copies": int(rows["copies"].iloc[0])}
@@ -164,6 +161,10 @@ def _stitched(docs: DataFrame, ranks_file: str, pattern: str, chunk: int, overla
     return (whole.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copy", "copies"))
 
 
+def _width(words: list[bytes]) -> str:
+    return "<u2" if len(words) <= 1 << 16 else "<u4"
+
+
 def _same(keys: list[str], suffix: str):
     same = F.lit(True)
     for k in keys:

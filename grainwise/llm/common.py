@@ -154,18 +154,18 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, root) for every end of the edges (a, b): the smallest id that its links reach.
 
-    Rounds of large-star and small-star steps: each keeps the components and at most as many edges as before, so a hot
-    node is an aggregation key and never a list. The edges of a round are a table in the shared folder.
+    Rounds of large-star and small-star steps: each keeps the components and has at most as many edges as the one before.
+    A node with very many links is one aggregation key; the smallest neighbours are tables of their own, so the
+    joins with them can be split where they are skewed. Every round ends in a table in the shared folder.
     """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        now = stored(small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), name)
+        large = stored(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        now = stored(large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
                      .filter("a <> b").distinct(), name)
         total = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if total == before:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,42 +14,73 @@ from grainwise.llm.common import ready, stored
 
 WIDTH = 2048
 END = 1
-KNOWN_WORDS, KNOWN_BYTES = 200_000, 32 << 20
+KNOWN_WORDS, KNOWN_BYTES = 400_000, 32 << 20
+# Code points below this are precomposed letters with simple lower-case forms; signs that may trail a word.
+LATIN = 0x250
+TRAILING = ".,!*$%&#|?;:"
+
+
+class Known(dict):
+    """Ids, as bytes, of the runs between blanks that this worker has met; emptied at KNOWN_WORDS runs or KNOWN_BYTES.
+
+    A run of Latin letters, with or without trailing punctuation, is one or two pre-tokens, whose merges the model gives
+    directly; any other run goes through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer_file: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__()
+        self.coder = Tokenizer.from_file(tokenizer_file)
+        self.coder.encode_special_tokens = True
+        self.model = self.coder.model
+        # The letters that stand for the bytes of a word, as the tokenizer's own byte-level step writes them.
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0x61, LATIN)}
+        self.size = 0
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) > KNOWN_WORDS or self.size > KNOWN_BYTES:
+            self.clear()
+            self.size = 0
+        word = run.rstrip(TRAILING)
+        low = word.lower()
+        if not low.isalpha() or ord(max(low)) >= LATIN:
+            found = self._ids(e.ids for e in self.coder.encode_batch_fast([run], add_special_tokens=False))
+        elif len(word) < len(run):
+            found = self[word] + self[run[len(word):]]
+        else:
+            found = self._ids([[t.id for t in self.model.tokenize(low.translate(self.signs))]])
+        self[run] = found
+        self.size += len(run) + len(found)
+        return found
+
+    @staticmethod
+    def _ids(lists) -> bytes:
+        return b"".join(np.array(ids, "<u4").tobytes() for ids in lists)
+
+
+_KNOWN: dict[str, Known] = {}
 
 
 def tokens(docs: DataFrame, tokenizer_file: str, end: int = END) -> DataFrame:
     """(task, place, doc_id, n, ids) per row: ids as little-endian 32-bit integers, ``end`` after each document.
 
     ``place`` is the prefix sum of ids within the task. The tokenizer splits at blanks and works on each run between
-    blanks by itself, so runs seen before are looked up; the memory is emptied at KNOWN_WORDS runs or KNOWN_BYTES.
+    blanks by itself, so each run is encoded once per worker and then looked up.
     """
     ready(docs.sparkSession)
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(tokenizer_file)
-        coder.encode_special_tokens = True
-        known: dict[str, bytes] = {}
-        tail = np.array([end], np.uint32).tobytes()
-        runs = re.compile("[^ \n]+").findall
-        task, place, size = TaskContext.get().partitionId(), 0, 0
+        known = _known(tokenizer_file)
+        task, place, tail = TaskContext.get().partitionId(), 0, np.array([end], "<u4").tobytes()
         for batch in batches:
             ids, places, counts = [], [], []
             for text in batch.column("text").to_pylist():
-                split = runs(text or "")
-                if len(known) > KNOWN_WORDS or size > KNOWN_BYTES:
-                    known.clear()
-                    size = 0
-                if new := [w for w in set(split) if w not in known]:
-                    for at in range(0, len(new), 4096):
-                        for w, e in zip(new[at: at + 4096], coder.encode_batch_fast(new[at: at + 4096], add_special_tokens=False), strict=True):
-                            known[w] = np.array(e.ids, np.uint32).tobytes()
-                            size += len(w) + len(known[w])
-                row = b"".join(chain((known[w] for w in split), (tail,)))
+                row = b"".join(map(known.__getitem__, (text or "").replace("\n", " ").split(" "))) + tail
                 ids.append(row)
                 places.append(place)
                 counts.append(len(row) // 4)
@@ -64,6 +93,13 @@ def tokens(docs: DataFrame, tokenizer_file: str, end: int = END) -> DataFrame:
             .mapInArrow(run, "task bigint, place bigint, doc_id bigint, n bigint, ids binary"))
 
 
+def _known(tokenizer_file: str) -> Known:
+    """One table per worker process, kept from task to task."""
+    if tokenizer_file not in _KNOWN:
+        _KNOWN[tokenizer_file] = Known(tokenizer_file)
+    return _KNOWN[tokenizer_file]
+
+
 def windows(total: int, width: int = WIDTH) -> tuple[int, list[int]]:
     """Full windows, and the lengths of the last ones: the rest as descending powers of two, which need no padding."""
     rest = total % width

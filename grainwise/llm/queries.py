@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainwise.llm import bpe, license, packing, pii, quality, toxicity
+from grainwise.llm import bpe, caps, hpy, license, minhash, packing, pii, quality, topk, toxicity
 from grainwise.llm.common import per_text, remainder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -83,3 +83,61 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.learn(docs, _table(spark, folder, "labels"))
     scored = quality.score(docs, model)
     return scored.select("doc_id", _held(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "text_difference")
+
+
+@_query
+def op3_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text scored by a hierarchical Pitman-Yor model of the documents that are not held out."""
+    docs = _table(spark, folder, "documents")
+    scored, model = hpy.model_scores(docs, remainder(F.col("doc_id"), 5) == 1)
+    return scored.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("held")).alias("held_out"), "n_tokens", "n_known",
+                         F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+@_query
+def op6_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector."""
+    return topk.top_k(_table(spark, folder, "embeddings"))
+
+
+@_query
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of texts with similar sets of four-word shingles."""
+    return minhash.near_copies(_table(spark, folder, "documents"), words=4, percent=80)
+
+
+@_query
+def op9_caps(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of vectors with a cosine of 0.9 or more."""
+    return caps.near_copies(_table(spark, folder, "embeddings"))
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_GOOD = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL"
+
+SQL["op6_top_k"] = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE {_GOOD}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+SQL["op7_minhash"] = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^ \\t-\\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(a, b) AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links l ON r.b = l.a) SELECT a, b FROM r),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(l.b, d.doc_id)) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of l ON l.a = d.doc_id"""
+
+SQL["op9_caps"] = f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {_GOOD} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM r JOIN links l ON r.b = l.a) SELECT a, b FROM r),
+f AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(DISTINCT b) AS n FROM links GROUP BY a)
+SELECT d.vec_id, coalesce(n.n, 0) AS n_links, least(d.vec_id, coalesce(f.b, d.vec_id)) AS component_id, d.vec_id = least(d.vec_id, coalesce(f.b, d.vec_id)) AS kept
+FROM embeddings d LEFT JOIN n ON n.a = d.vec_id LEFT JOIN f ON f.a = d.vec_id"""
