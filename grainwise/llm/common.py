@@ -58,8 +58,8 @@ def per_text(docs: DataFrame, make: Callable[[], Callable], schema: str, keep: t
                 [batch.column(k) for k in keep] + [pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)],
                 names=[*keep, *kinds.names])
 
-    source = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*source.drop("text").schema.fields, *out.fields])
+    source = docs.select(*[F.col(k).cast("string").alias(k) if k == "text" else F.col(k) for k in dict.fromkeys((*keep, "text"))])
+    full = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*source.select(*keep).schema.fields, *out.fields])
     return source.mapInArrow(run, full)
 
 
