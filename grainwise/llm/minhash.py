@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from grainwise.llm.common import components, mixed, per_text, ready, shingles, stored, word_hashes
 
-# 32 bands of 5: a pair at the similarity of 0.8 shares none with a chance of 3 in a million.
+# 32 bands of 5 bins: a pair at the similarity of 0.8 shares none with a chance of 3 in a million.
 BANDS, ROWS = 32, 5
-SIZE = BANDS * ROWS
+# One bit of every bin is kept besides. Two sets at similarity s agree in (1 + s) / 2 of them on average; a pair whose
+# agreement lies SPREAD standard deviations below that of the wanted similarity is not verified (3 in a million at it).
+SIZE, SPREAD = 1024, 4.5
 _LOW = np.uint64((1 << 40) - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,6 +43,16 @@ def sketch(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
     return bins
 
 
+def bits(values: np.ndarray) -> np.ndarray:
+    """One bit per bin, 64 to a number."""
+    return np.packbits((mixed(values, 11) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+def least_agreement(percent: int, size: int = SIZE, spread: float = SPREAD) -> int:
+    p = (1 + percent / 100) / 2
+    return int(size * p - spread * (size * p * (1 - p)) ** 0.5)
+
+
 def bands(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """One hash per run of ``rows`` bins; its place in the sketch is part of it."""
     table = values.reshape(-1, rows)
@@ -54,8 +66,9 @@ def _signature(words: int):
     def work(text: bytes) -> tuple:
         own = shingles(word_hashes(text), words)
         if not len(own):
-            return 0, None, None
-        return len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), bands(sketch(own))
+            return 0, None, None, None
+        bins = sketch(own)
+        return len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), bands(bins[: BANDS * ROWS]), bits(bins)
     return work
 
 
@@ -68,14 +81,15 @@ def near_copies(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame
 
     Equal sets are one class, kept as its smallest id. Classes that share a band are candidates. In every band each
     class is first compared with the smallest one; components of those links leave only pairs of different components
-    to compare, which are all compared, so no link between components is lost and no group is paired with itself.
+    to compare. Of these, every pair whose sizes and sketch allow the similarity is verified, so no link between
+    components is lost (but for the chances stated above) and no group is paired with itself.
     """
     ready(docs.sparkSession)
-    signed = stored(per_text(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), lambda: _signature(words), "n_shingles bigint, set_key binary, bands array<bigint>", raw=True), "signed")
+    signed = stored(per_text(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), lambda: _signature(words), "n_shingles bigint, set_key binary, bands array<bigint>, bits array<bigint>", raw=True), "signed")
     keyed = signed.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = stored(keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n")), "classes")
+    classes = stored(keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n")), "classes")
     shared = _buckets(classes)
-    links = _links(docs, shared, words, percent)
+    links = _links(docs, classes, shared, words, percent)
     # The ids of one class, and repeated ids over several classes, hang together too.
     again = keyed.select("doc_id", "set_key").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     twice = keyed.join(again, "doc_id").join(classes.select("set_key", "rep"), "set_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -93,7 +107,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return stored(rows.join(full, "bucket").select("bucket", "rep", "n", "least"), "buckets")
 
 
-def _links(docs: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes that connect all that is connected."""
     wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
 
@@ -109,9 +123,15 @@ def _links(docs: DataFrame, shared: DataFrame, words: int, percent: int) -> Data
     # Within a band whose classes fall into several components, all but the largest component are compared with the rest.
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
     several = stored(parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("size", "root")).alias("major")).filter("parts > 1").select("bucket", "major"), "several")
-    small = stored(placed.join(several, "bucket").filter("root <> major").select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("root").alias("root2")), "small")
-    cross = (placed.join(small, "bucket").filter("root <> root2").filter(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-             .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct())
+    # A pair is met in the first band that both have, if its sizes and its bits allow the similarity; nothing else is put out.
+    signs = classes.select(F.col("rep").alias("of"), "bands", "bits")
+    opened = stored(placed.join(several, "bucket").join(signs, F.col("rep") == F.col("of")).select("bucket", "rep", "n", "root", "major", "bands", "bits"), "opened")
+    small = stored(opened.filter("root <> major").select("bucket", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "root", "bands", "bits")]), "small")
+    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(SIZE // 64)), F.lit(0))
+    meet = ((opened["bucket"] == small["bucket"]) & (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("major")) | (F.col("rep") < F.col("rep2")))
+            & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (SIZE - differ >= least_agreement(percent))
+            & (F.array_min(F.array_intersect("bands", "bands2")) == opened["bucket"]))
+    cross = opened.join(small, meet).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     rest = stored(cross.join(star, ["a", "b"], "left_anti"), "cross")
     return first.union(verified(rest, sets, percent))
 
