@@ -78,16 +78,19 @@ def present_text(c: Column) -> Column:
 
 
 def raw_text(df: DataFrame, name: str) -> Column:
-    """Untrimmed text form of a cell; whole floating numbers print without '.0'."""
+    """Untrimmed text form of a cell; whole floating numbers print without '.0', others without an exponent up to 18 places."""
     c = col(name)
     kind = data_type(df, name)
     if is_text(df, name):
         return c
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         whole = (c == F.floor(c)) & (F.abs(c) < F.lit(1e15))
-        return F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+        shown = c.cast("string")
+        plain = F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
+        exponent = F.contains(shown, F.lit("E")) & F.abs(c).between(1e-12, 1e18)
+        return F.when(whole, c.cast("bigint").cast("string")).when(exponent, plain).otherwise(shown)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     if family(df, name) == "other":
         return F.to_json(c)
     return c.cast("string")
@@ -152,7 +155,8 @@ def number(df: DataFrame, name: str) -> Column:
         return value
     if kind == "text":
         t = _trimmed(df, name)
-        return F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
+        value = F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double"))
+        return F.when(F.abs(value) != F.lit(float("inf")), value)
     return F.lit(None).cast("double")
 
 

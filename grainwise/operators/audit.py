@@ -96,7 +96,7 @@ def frozen_events(events: DataFrame, task: str, state: str, at: str) -> DataFram
         F.max(F.when(F.col(state) == "COMPLETED", F.col(at))).alias("completed_at")
     )
     return (
-        events.join(done, F.col(task) == F.col("__task"))
+        events.join(done, F.col(task).eqNullSafe(F.col("__task")))
         .filter(F.col("completed_at").isNull() | (F.col(at) <= F.col("completed_at")))
         .drop("__task")
     )

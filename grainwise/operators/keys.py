@@ -19,14 +19,12 @@ from grainwise.functions import cells
 
 # Fixed value: names preferred as join keys.
 KEY_NAME = r"(?i)id|key|code|no|number|编号|编码|单号"
-MOST_SINGLE_CANDIDATES = 8
-MOST_KEY_FIELDS = 2
 
 Pairs = list[tuple[str, str]]
 
 
 def check_fields(df: DataFrame, fields: list[str]) -> None:
-    if not 1 <= len(fields) <= MOST_KEY_FIELDS:
+    if not fields:
         raise ValueError("a key has one field, or two that form a composite key")
     if len(set(fields)) != len(fields):
         raise ValueError("a composite key cannot repeat a field")
@@ -197,7 +195,7 @@ def candidate_pairs(
     common = [(a, b) for a in left.columns for b in right.columns if same(a) == same(b) and _comparable(lt[a], rt[b])]
     named = [(a, b) for a, b in common if re.search(KEY_NAME, a) or re.search(KEY_NAME, b)]
     composite = [[named[i], named[j]] for i in range(len(named)) for j in range(i + 1, len(named))]
-    return (named or common)[:MOST_SINGLE_CANDIDATES], composite
+    return named or common, composite
 
 
 def _described(rel: DataFrame, left: str, right: str, on: Pairs) -> DataFrame:

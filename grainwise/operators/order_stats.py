@@ -20,8 +20,6 @@ from grainwise.functions.cells import col
 
 BUCKETS = 4096
 ACCURACY = 1_000
-# Up to this many values the built-in exact percentile is one cheap pass.
-SMALL_COLUMN = 100_000
 
 
 @dataclass
@@ -104,7 +102,7 @@ def _values_at(numbers: DataFrame, brackets: list[_Bracket], extremes: dict[str,
 
 
 def quantiles(
-    numbers: DataFrame, columns: list[str], fractions: list[float], small: int = SMALL_COLUMN
+    numbers: DataFrame, columns: list[str], fractions: list[float]
 ) -> dict[str, tuple[int, list[float | None]]]:
     """{column: (count of values, linearly interpolated quantiles)}; NULLs are ignored."""
     if not columns:
@@ -113,14 +111,10 @@ def quantiles(
     found: dict[str, tuple[int, list[float | None]]] = {
         name: (0, [None] * len(fractions)) for name in columns if not survey[name]["n"]
     }
-    modest = [name for name in columns if 0 < survey[name]["n"] <= small]
-    if modest:
-        row = numbers.agg(*[F.percentile(col(n), fractions).alias(f"q{i}") for i, n in enumerate(modest)]).first()
-        found.update({n: (survey[n]["n"], list(row[f"q{i}"])) for i, n in enumerate(modest)})
     brackets: dict[tuple[str, int], _Bracket] = {}
     for name in columns:
         n = survey[name]["n"]
-        if n > small:
+        if n:
             for k, fraction in enumerate(fractions):
                 low, high = survey[name]["near"][k]
                 position = (n - 1) * fraction
@@ -141,15 +135,13 @@ def quantiles(
     return found
 
 
-def nearest_rank(numbers: DataFrame, column: str, fraction: float, small: int = SMALL_COLUMN) -> float | None:
+def nearest_rank(numbers: DataFrame, column: str, fraction: float) -> float | None:
     """Value at the 1-based rank ceil(fraction * n); NULLs are ignored."""
     survey = _survey(numbers, [column], [fraction])
     facts = survey[column]
     n = facts["n"]
     if not n:
         return None
-    if n <= small:
-        return numbers.select(F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY `{column}`)")).first()[0]
     low, high = facts["near"][0]
     bracket = _Bracket(column, max(0, math.ceil(n * fraction) - 1), low, high)
     _values_at(numbers, [bracket], survey)

@@ -87,7 +87,7 @@ def mixed_type_issues(stats: DataFrame, dates: list[str]) -> DataFrame:
     ))
 
 
-def outlier_bounds(df: DataFrame, names: list[str], small: int = order_stats.SMALL_COLUMN) -> dict[str, dict]:
+def outlier_bounds(df: DataFrame, names: list[str]) -> dict[str, dict]:
     """{column: quartiles and fences} for columns with enough numeric values.
 
     Quartiles are exact (linear interpolation) and come back as a few numbers
@@ -95,7 +95,7 @@ def outlier_bounds(df: DataFrame, names: list[str], small: int = order_stats.SMA
     """
     numbers = df.select(*[cells.number(df, n).alias(n) for n in names])
     bounds = {}
-    for name, (n, quarters) in order_stats.quantiles(numbers, names, [0.25, 0.75], small).items():
+    for name, (n, quarters) in order_stats.quantiles(numbers, names, [0.25, 0.75]).items():
         if n >= MINIMUM_VALUES:
             q1, q3 = quarters
             bounds[name] = {"values": n, "q1": q1, "q3": q3,
@@ -103,13 +103,13 @@ def outlier_bounds(df: DataFrame, names: list[str], small: int = order_stats.SMA
     return bounds
 
 
-def outliers(df: DataFrame, names: list[str], small: int = order_stats.SMALL_COLUMN) -> DataFrame:
+def outliers(df: DataFrame, names: list[str]) -> DataFrame:
     """Per numeric column: values, quartiles, fences and how many values lie outside.
 
     The fences are literals, so the count is one scan with a conditional
     aggregate and no join.
     """
-    bounds = outlier_bounds(df, names, small)
+    bounds = outlier_bounds(df, names)
     order = [n for n in names if n in bounds]
     schema = "column string, values bigint, q1 double, q3 double, low double, high double, outliers bigint"
     if not order:
@@ -159,7 +159,6 @@ def issues(
     ids: list[str] | None = None,
     dates: list[str] | None = None,
     stats: DataFrame | None = None,
-    small: int = order_stats.SMALL_COLUMN,
 ) -> DataFrame:
     """All findings on a table, one row each.
 
@@ -188,7 +187,7 @@ def issues(
         found.append(keyed)
     numeric = [r["column"] for r in numeric_columns(stats, ids).select("column").collect()]
     if numeric:
-        extreme = outliers(df, numeric, small).filter("outliers > 0")
+        extreme = outliers(df, numeric).filter("outliers > 0")
         place = F.coalesce(*[F.when(F.col("column") == n, F.lit(str(names.index(n)))) for n in numeric])
         found.append(extreme.select(*_issue(
             F.concat(F.lit("outlier-"), place), "outlier", F.lit("medium"), F.col("column"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.functions import cells
-from grainwise.operators.order_stats import SMALL_COLUMN, nearest_rank
+from grainwise.operators.order_stats import nearest_rank
 
 # The wording each decision rests on. ---------------------------
 DELIVERY = "延迟|晚到|配送|送达时间|差评|评价|评论"
@@ -47,7 +47,7 @@ CLEANING = "清洗|去除重复(?:行|记录|数据)?|删除重复(?:行|记录|
 REPEATED_RECORDS = "重复(?:的)?(?:订单|记录|编号)|(?:订单|记录|编号).{0,8}重复"
 QUALITY = ("质量|检查.*(?:异常|缺失|重复)|有哪些.*(?:问题|风险)|能不能用|是否可用|重复统计|算重复|多算|重复值|完全重复")
 PROFILE = "数据画像|字段结构|字段类型|多少行|多少列|查看字段"
-JOIN = r"(?i)关联|连接|合并|\bjoin\b|(?:品类|类别|分类).{0,12}(?:补到|加到|补充|添加).{0,12}订单"
+JOIN = r"(?i)关联|连接|合并|(?:^|[^A-Za-z0-9_])join(?:$|[^A-Za-z0-9_])|(?:品类|类别|分类).{0,12}(?:补到|加到|补充|添加).{0,12}订单"
 TREND_STRONG = "趋势|月度|按月|同比|环比|随时间|时间变化"
 GROUP = ("各地区|各区域|各品类|各渠道|(?:比较|对比)(?:不同|各个|各)?(?:地区|区域|渠道|品类)"
          "|按[^，。！？]{0,10}(?:地区|区域|品类|渠道|状态)|(?:各(?:种|个)?|不同)(?:订单)?状态|分组|分群")
@@ -65,10 +65,10 @@ ASCENDING = "最低|最少|最小|倒数"
 WHICH_ONE = "谁|哪个|哪家|哪种"
 CHINESE_DIGITS = "一二三四五六七八九十"
 
-AMBIGUOUS_AMOUNT = r"(?i)销售金额|销售额|\bgmv\b|收入|营收|金额"
+AMBIGUOUS_AMOUNT = r"(?i)销售金额|销售额|(?:^|[^A-Za-z0-9_])gmv(?:$|[^A-Za-z0-9_])|收入|营收|金额"
 AMOUNT_SCOPE = "不含运费|包含运费|含运费|不含退款|包含退款|扣除退款|含税|不含税"
 EXPLICIT_MEASURE = (r"(?i)订单(?:量|数)|客户数|用户数|商品数|数量|金额|销售额|gmv|收入|营收|平均|均值|客单价"
-                    r"|\b(?:amount|price|sales|revenue|count)\b")
+                    r"|(?:^|[^A-Za-z0-9_])(?:amount|price|sales|revenue|count)(?:$|[^A-Za-z0-9_])")
 ORDER_TASK = "(?:订单|送达|送货|配送)"
 STATUS_FIELD = r"^(?:.*\.)?(?:status|order_status)$|状态"
 
@@ -176,7 +176,7 @@ def _names_field(q: Column, field: str | None) -> Column:
         return F.lit(False)
     short = field.split(".")[-1]
     if re.fullmatch(r"[A-Za-z_]\w*", short):
-        return q.rlike(rf"(?i)\b{short}\b")
+        return mentions(q, short)
     return F.contains(q, F.lit(short))
 
 
@@ -336,9 +336,9 @@ def evaluate(results: DataFrame, gold: str, rule: str, model: str) -> DataFrame:
     )
 
 
-def latency(results: DataFrame, column: str, small: int = SMALL_COLUMN) -> DataFrame:
+def latency(results: DataFrame, column: str) -> DataFrame:
     """Mean and nearest-rank 95th percentile of a latency column, one row."""
-    p95 = nearest_rank(results.select(cells.col(column).cast("double").alias("ms")), "ms", 0.95, small)
+    p95 = nearest_rank(results.select(cells.col(column).cast("double").alias("ms")), "ms", 0.95)
     return results.agg(F.round(F.avg(column)).cast("bigint").alias("mean_ms"), F.lit(p95).cast("double").alias("p95_ms"))
 
 

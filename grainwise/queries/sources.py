@@ -79,10 +79,10 @@ def source_manifest(t: Tables) -> DataFrame:
 
 
 RISKY = "CASE WHEN event_type = 'view' THEN concat('=SUM(A', CAST(user_id AS STRING), ')') WHEN event_type = 'error' THEN " \
-        "concat(' -', CAST(user_id AS STRING)) WHEN event_type = 'click' THEN '@cmd' ELSE event_type END"
+        "concat('\u00a0-', CAST(user_id AS STRING)) WHEN event_type = 'click' THEN '\u3000@cmd' ELSE event_type END"
 
 
-@query("formula_guard", "S9", f"""SELECT event_id, CASE WHEN regexp_matches(n, '^\\s*[=+@-]') THEN '''' || n ELSE n END AS "'=note", value
+@query("formula_guard", "S9", f"""SELECT event_id, CASE WHEN regexp_matches({trim('n')}, '^[=+@-]') THEN '''' || n ELSE n END AS "'=note", value
     FROM (SELECT event_id, {RISKY} AS n, value FROM events)""")
 def formula_guard(t: Tables) -> DataFrame:
     return sinks.formula_guard(t.events.selectExpr("event_id", f"{RISKY} AS `=note`", "value"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from grainwise.functions import cells
 
-FORMULA = r"^\s*[=+@-]"
+FORMULA = "^[" + cells.BLANKS + "]*[=+@-]"
 PAGE_ROWS = 25
 
 

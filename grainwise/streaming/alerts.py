@@ -8,19 +8,19 @@ The rules, per service and in order of its monitoring cycles:
   last successful cycle make an update;
 * a healthy cycle closes an open incident with one recovery.
 
-``batch`` states this with windows over monitoring cycles, ``stream`` as a
-stateful Structured Streaming operator. A cycle is one row whatever the traffic,
+``batch`` states this with windows over monitoring cycles, ``stream`` applies it
+to every micro-batch of a stream. A cycle is one row whatever the traffic,
 so the history of a service is as long as its calendar, not as its log.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 FAILURES_TO_ALERT = 2
 
@@ -96,52 +96,20 @@ def batch(cycles: DataFrame, errors: DataFrame) -> DataFrame:
     )
 
 
-OUTPUT = "service string, cycle timestamp, phase string, notification string, severity string, reason string"
-STATE = "phase string, failures int, severity string, keys array<string>"
+def stream(observations: DataFrame, sink: Callable[[DataFrame, int], None], history: str, checkpoint: str) -> StreamingQuery:
+    """The same rules over a stream of service, cycle, monitor_ok, site_ok, keys array<string>.
 
-
-def step(state: tuple, monitor_ok: bool, site_ok: bool, keys: list[str]) -> tuple[tuple, tuple]:
-    """(next state, notification) for one observation; state is (phase, failures, severity, keys)."""
-    phase, failures, severity, known = state
-    open_incident = phase == "degraded"
-    kind = "failure_update" if open_incident else "failure"
-    if not monitor_ok:
-        failures += 1
-        if failures >= FAILURES_TO_ALERT and not open_incident:
-            return ("degraded", failures, "P1", known), ("failure", "P1", "monitor_failed_twice")
-        return (phase, failures, severity, known), (None, None, None)
-    keys = sorted(set(keys))
-    if not site_ok:
-        raised = not open_incident or severity != "P1"
-        return ("degraded", 0, "P1", keys), ((kind, "P1", "site_unavailable") if raised else (None, None, None))
-    if keys:
-        raised = not open_incident or bool(set(keys) - set(known))
-        kept = "P1" if severity == "P1" else "P2"
-        return ("degraded", 0, kept, keys), ((kind, "P2", "worker_error") if raised else (None, None, None))
-    closed = ("recovery", severity, "site_healthy_no_active_errors") if open_incident else (None, None, None)
-    return ("healthy", 0, None, []), closed
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Orders the observations of a micro-batch and walks them.
-
-    Held at once: the cycles of one service in one micro-batch, which the
-    trigger's input limit bounds.
+    Every micro-batch is stored under its number in ``history``, a folder that all executors share, so a retry overwrites itself.
+    Then ``batch`` runs over the stored cycles of the services at hand, and the new ones go to the sink.
     """
-    current = tuple(state.get) if state.exists else ("healthy", 0, None, [])
-    current = (current[0], current[1], current[2], list(current[3] or []))
-    rows = pd.concat(list(batches)).sort_values("cycle")
-    out = []
-    for row in rows.itertuples(index=False):
-        keys = [] if row.keys is None else list(row.keys)
-        current, note = step(current, bool(row.monitor_ok), bool(row.site_ok), keys)
-        out.append((key[0], row.cycle, current[0], *note))
-    state.update(current)
-    yield pd.DataFrame(out, columns=["service", "cycle", "phase", "notification", "severity", "reason"])
-
-
-def stream(observations: DataFrame) -> DataFrame:
-    """Stateful operator over service, cycle, monitor_ok, site_ok, keys array<string>."""
-    return observations.groupBy("service").applyInPandasWithState(
-        _advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    def advance(fresh: DataFrame, number: int) -> None:
+        spark = fresh.sparkSession
+        fresh.write.mode("overwrite").parquet(f"{history}/batch={number}")
+        stored = T.StructType([*fresh.schema.fields, T.StructField("batch", T.LongType())])
+        known = spark.read.schema(stored).parquet(history).filter(F.col("batch") <= number)
+        new = known.filter(F.col("batch") == number)
+        rows = known.join(new.select("service").distinct(), "service", "left_semi")
+        told = batch(rows.select("service", "cycle", "monitor_ok", "site_ok"), rows.select("service", "cycle", F.explode("keys").alias("key")))
+        sink(told.join(new.select("service", "cycle"), ["service", "cycle"], "left_semi"), number)
+
+    return observations.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -12,28 +12,27 @@ BY_CUSTOMER = [("customer_id", "customer_id")]
 @pytest.fixture()
 def tables(spark):
     orders = spark.createDataFrame(
-        [("O-1", "C-1", 100), ("O-2", "C-1", 80), ("O-3", "C-2", 120), ("O-4", "C-X", 50)],
+        [("K3", "P2", 90), ("K1", "P1", 70), ("K5", "P2", 10), ("K4", "P9", 25), ("K2", "P1", 30)],
         "order_id string, customer_id string, amount int")
     items = text_frame(spark, ["order_id", "item_id", "category"], [
-        ["O-1", "I-1", "A"], ["O-1", "I-2", "B"], ["O-2", "I-3", "A"], ["O-3", "I-4", "C"], ["O-X", "I-5", "D"]])
-    customers = text_frame(spark, ["customer_id", "region"], [["C-1", "华东"], ["C-2", "华南"], ["C-3", "华北"]])
+        ["K8", "i6", "D"], ["K1", "i1", "A"], ["K1", "i2", "B"], ["K2", "i4", "A"], ["K1", "i3", "A"], ["K3", "i5", "C"]])
+    customers = text_frame(spark, ["customer_id", "region"], [["P3", "North"], ["P1", "East"], ["P2", "South"]])
     return {"orders": orders, "items": items, "customers": customers}
 
 
 def test_key_profiles(tables):
     assert keys.key_profile(tables["orders"], ["order_id"]).first().unique is True
     row = keys.key_profile(tables["items"], ["order_id"]).first()
-    assert (row.unique, row.duplicated_keys, row.rows_in_duplicated_keys) == (False, 1, 2)
-    with pytest.raises(ValueError):
-        keys.key_profile(tables["items"], ["order_id", "item_id", "category"])
+    assert (row.unique, row.duplicated_keys, row.rows_in_duplicated_keys) == (False, 1, 3)
+    assert keys.key_profile(tables["items"], ["order_id", "item_id", "category"]).first().unique is True
     with pytest.raises(ValueError):
         keys.key_profile(tables["items"], ["order_id", "order_id"])
 
 
 def test_one_to_many(tables):
     row = keys.relationship(tables["orders"], tables["items"], BY_ORDER).first()
-    assert (row.cardinality, row.left_orphan_rows, row.right_orphan_rows) == ("1:N", 1, 1)
-    assert (row.left_join_rows, row.expansion, row.measure_risk, row.inner_join_rows) == (5, 1.25, True, 4)
+    assert (row.cardinality, row.left_orphan_rows, row.right_orphan_rows) == ("1:N", 2, 1)
+    assert (row.left_join_rows, row.expansion, row.measure_risk, row.inner_join_rows) == (7, 1.4, True, 5)
 
 
 def test_many_to_one(tables):
@@ -74,12 +73,20 @@ def test_text_one_is_not_number_one(spark):
 def test_candidates(tables):
     found = {(r.left_table, r.right_table, r.left_fields, r.cardinality, r.score)
              for r in keys.join_candidates(tables).collect()}
-    assert found == {("orders", "items", "order_id", "1:N", 2), ("orders", "customers", "customer_id", "N:1", 2)}
+    assert found == {("orders", "items", "order_id", "1:N", 3), ("orders", "customers", "customer_id", "N:1", 2)}
     bridge = keys.bridge_candidates({k: tables[k] for k in ("orders", "items")}, "customers", tables["customers"]).collect()
     assert [(r.left_table, r.left_fields) for r in bridge] == [("orders", "customer_id")]
     assert keys.join_candidates({"a": tables["items"].select("category"), "b": tables["customers"].select("region")}) is None
 
 
+def test_every_common_key_is_a_candidate(spark):
+    """Nine common columns give nine single candidates."""
+    names = [f"k{i}_id" for i in range(9)]
+    left, right = (text_frame(spark, names, [[f"{side}{i}" for i in range(9)]]) for side in "lr")
+    singles, composites = keys.candidate_pairs(left, right)
+    assert len(singles) == 9 and len(composites) == 36
+
+
 def test_unconfirmed_join_is_refused(tables):
     draft = joins.propose(tables["orders"], tables["customers"], BY_CUSTOMER)
     assert (draft.how, draft.cardinality, draft.grain) == ("left", "N:1", "left")
@@ -90,14 +97,14 @@ def test_unconfirmed_join_is_refused(tables):
 def test_safe_join_keeps_amounts(tables):
     orders, customers = tables["orders"], tables["customers"]
     spec = joins.propose(orders, customers, BY_CUSTOMER).confirm("one row per order")
-    assert joins.preview(orders, customers, spec).first().output_rows == 4
+    assert joins.preview(orders, customers, spec).first().output_rows == 5
     joined = joins.controlled_join(orders, customers, spec, "orders", "customers")
     rows = {r.orders__order_id: (r.customers__region, r.matched) for r in joined.collect()}
-    assert rows == {"O-1": ("华东", True), "O-2": ("华东", True), "O-3": ("华南", True), "O-4": (None, False)}
+    assert rows == {"K1": ("East", True), "K2": ("East", True), "K3": ("South", True), "K4": (None, False), "K5": ("South", True)}
     assert all(passed(joins.structural_checks(joined, keys.relationship(orders, customers, BY_CUSTOMER), spec)).values())
     amounts = reconcile.reconcile_join(orders, customers, BY_CUSTOMER, "left", ["amount"], [], "orders", "customers")
     row = amounts.first()
-    assert (row.status, row.source_total, row.output_total) == ("balanced", 350.0, 350.0)
+    assert (row.status, row.source_total, row.output_total) == ("balanced", 225.0, 225.0)
     reconcile.require_balanced(amounts, "orders", "amount")
 
 
@@ -105,11 +112,11 @@ def test_fan_out_is_found_and_blocks_sums(tables):
     orders, items = tables["orders"], tables["items"]
     spec = joins.propose(orders, items, BY_ORDER).confirm("one row per matched item")
     assert (spec.how, spec.grain) == ("inner", "right")
-    assert joins.controlled_join(orders, items, spec, "o", "i").count() == 4
+    assert joins.controlled_join(orders, items, spec, "o", "i").count() == 5
     amounts = reconcile.reconcile_join(orders, items, BY_ORDER, "inner", ["amount"], [], "orders", "items")
     row = amounts.first()
-    assert (row.status, row.source_total, row.output_total, row.net_delta) == ("mixed", 350.0, 400.0, 50.0)
-    assert (row.duplicated_source_rows, row.excluded_source_rows, row.duplication_impact, row.exclusion_impact) == (1, 1, 100.0, 50.0)
+    assert (row.status, row.source_total, row.output_total, row.net_delta) == ("mixed", 225.0, 330.0, 105.0)
+    assert (row.duplicated_source_rows, row.excluded_source_rows, row.duplication_impact, row.exclusion_impact) == (1, 2, 140.0, 35.0)
     with pytest.raises(reconcile.UnsafeAmount):
         reconcile.require_balanced(amounts, "orders", "amount")
 
@@ -132,7 +139,7 @@ def test_enrichment_keeps_the_left_grain(tables):
     assert not passed(joins.enrichment_validation(rel, spec, ["amount"], {"amount": "number"}))["descriptive_fields_only"]
     out = joins.enrich(orders, items, spec, ["category"], "orders", "items")
     rows = {r.orders__order_id: (r.items__category_values, r.items__category_distinct_list, r.matched) for r in out.collect()}
-    assert rows["O-1"] == (["A", "B"], "A、B", True) and rows["O-4"] == ([], None, False)
+    assert rows["K1"] == (["A", "B"], "A、B", True) and rows["K4"] == ([], None, False)
     amounts = reconcile.reconcile_rows(out, orders, "order_id", "orders__order_id", ["amount"], "orders")
     assert amounts.first().status == "balanced"
     bad = reconcile.unbalanced(amounts).agg(F.count(F.lit(1))).scalar()
@@ -155,11 +162,11 @@ def test_three_tables(tables):
     ]
     out = joins.chain(t, steps)
     rows = {r.items__item_id: (r.orders__order_id, r.customers__region) for r in out.collect()}
-    assert len(rows) == 5 and rows["I-1"] == ("O-1", "华东") and rows["I-5"] == (None, None)
+    assert len(rows) == 6 and rows["i1"] == ("K1", "East") and rows["i6"] == (None, None)
     assert all(r.no_fan_out for r in joins.step_accounting(t, steps).collect())
     assert joins.intermediate_checks(t, steps).first().keeps_rows
     amounts = reconcile.reconcile_rows(out, t["orders"], "order_id", "orders__order_id", ["amount"], "orders").first()
-    assert (amounts.status, amounts.output_total) == ("mixed", 400.0)
+    assert (amounts.status, amounts.output_total) == ("mixed", 330.0)
     with pytest.raises(JoinRefused):
         joins.chain(t, [steps[1], steps[1]])
     with pytest.raises(JoinRefused):
@@ -167,15 +174,15 @@ def test_three_tables(tables):
 
 
 def test_control_totals(spark):
-    orders = text_frame(spark, ["order_id", "amount"], [["O-1001", "120"], ["O-1002", "80"], ["O-1003", "150"], ["O-1004", "60"]])
-    items = text_frame(spark, ["order_id"], [["O-1001"], ["O-1001"], ["O-1002"], ["O-1003"], ["O-X"]])
+    orders = text_frame(spark, ["order_id", "amount"], [["T1", "15"], ["T2", "40"], ["T3", "5"]])
+    items = text_frame(spark, ["order_id"], [["T1"], ["T3"], ["T9"], ["T1"]])
     got = {r.scope: (r.rows, r.distinct_entities, r.amount) for r in
            joins.control_totals(orders, items, BY_ORDER, "order_id", "amount").collect()}
-    assert got == {"source": (4, 4, 410.0), "left": (5, 4, 530.0), "inner": (4, 3, 470.0)}
+    assert got == {"source": (3, 3, 60.0), "left": (4, 3, 75.0), "inner": (3, 2, 35.0)}
 
 
 def test_asserted_keys_fail_the_job(tables):
-    assert keys.assert_unique(tables["orders"], ["order_id"]).count() == 4
+    assert keys.assert_unique(tables["orders"], ["order_id"]).count() == 5
     with pytest.raises(Exception, match="not unique"):
         keys.assert_unique(tables["items"], ["order_id"]).collect()
 
