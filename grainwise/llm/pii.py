@@ -35,15 +35,19 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
-# Spans that the method adds: the same data in other spellings, and three further kinds.
+# The two separators of a spelled-out address: no text without both has one.
+_AT = (" at ", "[at]", "(at)", "[at)", "(at]")
+_DOT = (".", " dot ", "[dot]", "(dot)", "[dot)", "(dot]")
+# Spans that the method adds: the same data in other spellings, and three further kinds. A match holds one of each group of
+# marks, so texts without them are not searched.
 _BROAD = (
-    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}(?: at | ?[\[(]at[\])] ?)[A-Za-z0-9-]{1,63}(?:(?: dot | ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]{1,63})+"), ("[at]", "(at)", " dot ")),
-    ("phone", re.compile(r"(?<![\w+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"), None),
-    ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), ("-",)),
-    ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), None),
-    ("secret", re.compile(r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)"), ("AKIA", "ASIA")),
-    ("secret", re.compile(r"(?<!\w)(?:gh[po]_|sk-|xox[bp]-|AIza|glpat-)[0-9A-Za-z_-]{16,}"), ("ghp_", "gho_", "sk-", "xox", "AIza", "glpat-")),
-    ("secret", re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?(?P<v>[0-9A-Za-z_+/-]{8,})"), ("=", ":")),
+    ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}(?: at | ?[\[(]at[\])] ?)[A-Za-z0-9-]{1,63}(?:(?: dot | ?[\[(]dot[\])] ?|\.)[A-Za-z0-9-]{1,63})+"), (_AT, _DOT)),
+    ("phone", re.compile(r"(?<![\w+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])"), ()),
+    ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), (("-",),)),
+    ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), ()),
+    ("secret", re.compile(r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)"), (("AKIA", "ASIA"),)),
+    ("secret", re.compile(r"(?<!\w)(?:gh[po]_|sk-|xox[bp]-|AIza|glpat-)[0-9A-Za-z_-]{16,}"), (("ghp_", "gho_", "sk-", "xox", "AIza", "glpat-"),)),
+    ("secret", re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,4}[=:]\s{0,4}[\"']?(?P<v>[0-9A-Za-z_+/-]{8,})"), (("=", ":"),)),
 )
 
 
@@ -86,9 +90,9 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     out = base_spans(text)
     more = []
     for kind, pattern, marks in _BROAD:
-        if marks is None and kind in ("phone", "iban") and not _DIGIT.search(text):
+        if not marks and kind in ("phone", "iban") and not _DIGIT.search(text):
             continue
-        if marks is None or any(m in text for m in marks):
+        if all(any(m in text for m in group) for group in marks):
             for m in pattern.finditer(text):
                 more.append((kind, *(m.span("v") if "v" in pattern.groupindex else m.span())))
     for kind, a, b in more:
@@ -220,10 +224,10 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def redact(text: str, found: list[tuple]) -> str:
-    """The text with [KIND] for every span; of spans that overlap, the first stays."""
+    """The text with [KIND] for every span; spans that overlap are replaced together, under the kind of the first."""
     parts, at = [], 0
     for kind, a, b, *_ in sorted(found, key=lambda s: (s[1], -s[2])):
         if a >= at:
             parts += [text[at:a], f"[{kind.upper()}]"]
-            at = b
+        at = max(at, b)
     return "".join([*parts, text[at:]])

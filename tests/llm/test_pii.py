@@ -62,6 +62,26 @@ def test_redaction():
     assert pii.redact("mail a@b.cd or call", [("email", 5, 11), ("phone", 7, 9)]) == "mail [EMAIL] or call"
 
 
+def test_redaction_of_overlapping_spans():
+    text = "client 10.0.0.18 4111111111111111 end"
+    found = pii.spans(text, pii.Model((0.0,) * 13))[0]
+    assert found == [("ip", 7, 16), ("card", 14, 33)]
+    assert pii.redact(text, found) == "client [IP] end"
+    assert pii.redact("abcdefgh", [("ip", 1, 4), ("card", 3, 6), ("phone", 4, 5), ("ssn", 6, 7)]) == "a[IP][SSN]h"
+
+
+def test_marks_are_necessary_conditions_of_the_patterns():
+    for text in ("jane.doe at example[dot]com", "jane.doe at example (dot) com", "jane.doe at example.com", "jane.doe (at] example [dot) com", "jane.doe[at]example.com"):
+        assert pii.candidates(text) == [("email", 0, len(text))], text
+    assert pii.candidates("x at y.com") == pii.candidates("x at y.com, one dot two")
+    rng = random.Random(5)
+    parts = ["jane", "x", " at ", "[at]", "(at)", " (at] ", " dot ", "[dot]", "(dot)", " [dot) ", ".", " ", "com", "[", "-"]
+    pattern = pii._BROAD[0][1]
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 9)))
+        assert [s for s in pii.candidates(text)] == [("email", *m.span()) for m in pattern.finditer(text)], text
+
+
 def test_query(llm):
     texts = {r["doc_id"]: r["text"] for r in llm.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     for r in QUERIES["op5_pii"](llm, FOLDER).collect():
