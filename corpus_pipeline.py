@@ -30,14 +30,11 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of texts that hang together by similar sets of five-word shingles.
+    """The row with the smallest id of each group of texts that hang together by similar sets of five-word shingles.
 
-    Of rows that share an id one stays; rows without an id stay.
+    Different texts that share an id are no copies and stay; rows without an id stay.
     """
-    kept = minhash.near_copies(docs, words=5, percent=80).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").groupBy("doc_id")
-    one = named.agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
-    return one.select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    return minhash.one_of_each(docs, words=5, percent=80, keep=COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,10 +68,26 @@ def _signature(words: int):
         if not len(own):
             return 0, None, None, None
         bins = sketch(own)
-        return len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), bands(bins[: BANDS * ROWS]), bits(bins)
+        return len(own), _key(own), bands(bins[: BANDS * ROWS]), bits(bins)
     return work
 
 
+def _key(own: np.ndarray) -> bytes | None:
+    """The same for equal sets; an empty one has none."""
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
+def _signed(docs: DataFrame, words: int) -> DataFrame:
+    ready(docs.sparkSession)
+    return stored(per_text(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), lambda: _signature(words), "n_shingles bigint, set_key binary, bands array<bigint>, bits array<bigint>", raw=True), "signed")
+
+
+def _classes(keyed: DataFrame) -> DataFrame:
+    """One row per set, with a number of its own: an id may carry several sets, so that it names none."""
+    one = keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
+    return stored(one.withColumn("cls", F.monotonically_increasing_id()), "classes")
+
+
 def near_copies(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
@@ -84,54 +100,85 @@ def near_copies(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame
     to compare. Of these, every pair whose sizes and sketch allow the similarity is verified, so no link between
     components is lost (but for the chances stated above) and no group is paired with itself.
     """
-    ready(docs.sparkSession)
-    signed = stored(per_text(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), lambda: _signature(words), "n_shingles bigint, set_key binary, bands array<bigint>, bits array<bigint>", raw=True), "signed")
+    signed = _signed(docs, words)
     keyed = signed.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = stored(keyed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("n_shingles").alias("n")), "classes")
-    shared = _buckets(classes)
-    links = _links(docs, classes, shared, words, percent)
-    # The ids of one class, and repeated ids over several classes, hang together too.
-    again = keyed.select("doc_id", "set_key").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    twice = keyed.join(again, "doc_id").join(classes.select("set_key", "rep"), "set_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    roots = stored(components(links.union(twice), "roots"), "roots")
-    named = stored(classes.select("set_key", "rep").join(roots, classes["rep"] == roots["id"], "left").select("set_key", F.coalesce("root", "rep").alias("root")), "named")
+    classes = _classes(keyed)
+    links = _links(docs, classes, _buckets(classes), words, percent)
+    # The sets of one id hang together too.
+    mine = keyed.select("doc_id", "set_key").distinct().join(classes.select("set_key", "cls"), "set_key")
+    again = mine.groupBy("doc_id").agg(F.min("cls").alias("a"), F.count("*").alias("n")).filter("n > 1").select("doc_id", "a")
+    twice = mine.join(again, "doc_id").select("a", F.col("cls").alias("b"))
+    named = stored(_named(classes, links.union(twice)).select("set_key", F.col("least.rep").alias("root")), "named")
     return (signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
             .select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("root")), F.col("doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
+def one_of_each(docs: DataFrame, words: int = 4, percent: int = 80, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The ``keep`` columns, doc_id and text among them, of one row per group of similar texts: that of the smallest (doc_id, set).
+
+    Only similar texts make a group here: different texts that share an id stay side by side. Rows without an id stay all; of rows
+    without words, those with the same id and text are one.
+    """
+    classes = _classes(_signed(docs, words).filter("doc_id IS NOT NULL AND set_key IS NOT NULL"))
+    named = _named(classes, _links(docs, classes, _buckets(classes), words, percent))
+    least = named.select("least.rep", "least.set_key").distinct().withColumn("found", F.lit(True))
+
+    def make():
+        return lambda text: (_key(shingles(word_hashes(text), words)),)
+    own = per_text(docs.filter("doc_id IS NOT NULL"), make, "own_set binary", keep, raw=True)
+    left = own.join(least, (F.col("doc_id") == F.col("rep")) & (F.col("own_set") == F.col("set_key")), "left").filter("found OR own_set IS NULL")
+    rest = [k for k in keep if k != "doc_id"]
+    one = left.groupBy("doc_id", "own_set", F.when(F.col("own_set").isNull(), F.col("text")).alias("wordless")).agg(F.min(F.struct(*rest)).alias("row"))
+    return one.select("doc_id", "row.*").select(*keep).union(docs.filter("doc_id IS NULL").select(*keep))
+
+
+def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(set_key, least) of every class; ``least`` is the smallest (rep, set_key) of all classes that its links reach."""
+    roots = stored(components(links, "roots"), "roots")
+    own = F.struct("rep", "set_key")
+    linked = classes.select("cls", own.alias("own")).join(roots, F.col("cls") == F.col("id"))
+    least = linked.groupBy("root").agg(F.min("own").alias("least"))
+    found = roots.join(least, "root").select("id", "least")
+    return classes.join(found, classes["cls"] == found["id"], "left").select("set_key", F.coalesce("least", own).alias("least"))
+
+
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, rep, n, least) of the bands that several classes share; ``least`` is the smallest of them."""
-    rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
-    full = stored(rows.groupBy("bucket").agg(F.min("rep").alias("least"), F.count("*").alias("size")).filter("size > 1").select("bucket", "least"), "full")
-    return stored(rows.join(full, "bucket").select("bucket", "rep", "n", "least"), "buckets")
+    """(bucket, cls, n, least) of the bands that several classes share; ``least`` is the smallest of them."""
+    rows = classes.select("cls", "n", F.explode("bands").alias("bucket"))
+    full = stored(rows.groupBy("bucket").agg(F.min("cls").alias("least"), F.count("*").alias("size")).filter("size > 1").select("bucket", "least"), "full")
+    return stored(rows.join(full, "bucket").select("bucket", "cls", "n", "least"), "buckets")
 
 
 def _links(docs: DataFrame, classes: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified links (a, b) between classes that connect all that is connected."""
-    wanted = shared.select(F.col("rep").alias("doc_id")).distinct()
+    """Verified links (a, b) between the numbers of classes that connect all that is connected."""
+    wanted = classes.join(shared.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("rep").alias("doc_id"), "set_key")
 
     def make():
-        return lambda text: (shingles(word_hashes(text), words).tobytes(),)
+        def work(text: bytes) -> tuple:
+            own = shingles(word_hashes(text), words)
+            return _key(own), own.tobytes()
+        return work
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    sets = stored(per_text(texts, make, "shingles binary", raw=True).groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "sets")
+    own = per_text(texts, make, "set_key binary, shingles binary", raw=True).groupBy("doc_id", "set_key").agg(F.max("shingles").alias("shingles"))
+    sets = stored(own.join(wanted, ["doc_id", "set_key"]).select("cls", "shingles"), "sets")
 
-    star = stored(shared.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    star = stored(shared.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct(), "star")
     first = stored(verified(star, sets, percent), "links")
     roots = stored(components(first, "first-roots"), "first-roots")
-    placed = stored(shared.join(roots, shared["rep"] == roots["id"], "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("root")), "placed")
+    placed = stored(shared.join(roots, shared["cls"] == roots["id"], "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("root")), "placed")
     # Within a band whose classes fall into several components, all but the largest component are compared with the rest.
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
     several = stored(parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("size", "root")).alias("major")).filter("parts > 1").select("bucket", "major"), "several")
     # A pair is met in the first band that both have, if its sizes and its bits allow the similarity; nothing else is put out.
-    signs = classes.select(F.col("rep").alias("of"), "bands", "bits")
-    opened = stored(placed.join(several, "bucket").join(signs, F.col("rep") == F.col("of")).select("bucket", "rep", "n", "root", "major", "bands", "bits"), "opened")
-    small = stored(opened.filter("root <> major").select("bucket", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "root", "bands", "bits")]), "small")
+    signs = classes.select(F.col("cls").alias("of"), "bands", "bits")
+    opened = stored(placed.join(several, "bucket").join(signs, F.col("cls") == F.col("of")).select("bucket", "cls", "n", "root", "major", "bands", "bits"), "opened")
+    small = stored(opened.filter("root <> major").select("bucket", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "root", "bands", "bits")]), "small")
     differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(SIZE // 64)), F.lit(0))
-    meet = ((opened["bucket"] == small["bucket"]) & (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("major")) | (F.col("rep") < F.col("rep2")))
+    meet = ((opened["bucket"] == small["bucket"]) & (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("major")) | (F.col("cls") < F.col("cls2")))
             & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (SIZE - differ >= least_agreement(percent))
             & (F.array_min(F.array_intersect("bands", "bands2")) == opened["bucket"]))
-    cross = opened.join(small, meet).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    cross = opened.join(small, meet).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
     rest = stored(cross.join(star, ["a", "b"], "left_anti"), "cross")
     return first.union(verified(rest, sets, percent))
 
@@ -147,6 +194,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    return (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
+            .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
             .select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))

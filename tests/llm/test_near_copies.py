@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from conftest_llm import EDGES, FOLDER, frame
@@ -82,6 +83,26 @@ def test_null_ids_repeated_rows_and_empty_tables(llm):
     assert minhash.near_copies(docs.limit(0)).count() == 0
 
 
+def merged_sources(llm):
+    """Id 1 carries two texts without a common word; 3 is similar to the one, 4 to the other."""
+    one, two = [f"a{i}" for i in range(100)], [f"b{i}" for i in range(100)]
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (3, " ".join([*one[:-1], "x"])), (4, " ".join([*two[:-1], "x"])), (5, "none of these"), (5, "but the id"), (5, ""), (5, None), (5, "")]
+    return llm.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def test_every_set_of_a_repeated_id_is_verified(llm):
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_copies(merged_sources(llm)).collect()}
+    assert got == {(1, 1, True), (3, 1, False), (4, 1, False), (5, 5, True)}
+
+
+def test_different_texts_of_one_id_survive(llm):
+    docs = merged_sources(llm)
+    texts = [r["text"] for r in docs.collect()]
+    got = sorted((r["doc_id"], str(r["text"])) for r in corpus_pipeline.one_of_each_group(llm, docs, FOLDER).collect())
+    assert got == sorted([(1, texts[0]), (1, texts[1]), (5, texts[4]), (5, texts[5]), (5, ""), (5, "None")])
+    assert minhash.one_of_each(docs.select("doc_id", "text").union(docs.select("doc_id", "text"))).count() == 6
+
+
 def test_word_hashes_follow_the_words():
     a, b = word_hashes(b"The  quick\tbrown"), word_hashes(b"the quick\nBROWN \x0b")
     assert (a == b).all() and len(set(a.tolist())) == 3
