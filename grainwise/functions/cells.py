@@ -77,8 +77,19 @@ def present_text(c: Column) -> Column:
     return F.when((F.octet_length(t) > LONGEST_MISSING_WORD) | ~F.lower(t).isin(MISSING_WORDS), t)
 
 
+def _shifted(shown: Column) -> Column:
+    """A number that prints with an exponent, without it: its digits moved to their places, none of them rounded."""
+    digits = F.regexp_replace(F.substring_index(shown, "E", 1), "[-.]|0+$", "")
+    power = F.substring_index(shown, "E", -1).try_cast("int")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0"))
+    rest = F.substring(digits, power + 2, F.length(digits))
+    large = F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")))
+    return F.concat(F.when(F.startswith(shown, F.lit("-")), F.lit("-")).otherwise(F.lit("")), F.when(power < 0, small).otherwise(large))
+
+
 def raw_text(df: DataFrame, name: str) -> Column:
-    """Untrimmed text form of a cell; whole floating numbers print without '.0', others without an exponent up to 18 places."""
+    """Untrimmed text form of a cell; whole floating numbers print without '.0', others from 1e-12 to 1e18 without an exponent."""
     c = col(name)
     kind = data_type(df, name)
     if is_text(df, name):
@@ -86,9 +97,8 @@ def raw_text(df: DataFrame, name: str) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         whole = (c == F.floor(c)) & (F.abs(c) < F.lit(1e15))
         shown = c.cast("string")
-        plain = F.regexp_replace(c.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
         exponent = F.contains(shown, F.lit("E")) & F.abs(c).between(1e-12, 1e18)
-        return F.when(whole, c.cast("bigint").cast("string")).when(exponent, plain).otherwise(shown)
+        return F.when(whole, c.cast("bigint").cast("string")).when(exponent, _shifted(shown)).otherwise(shown)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     if family(df, name) == "other":

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import text_frame
 from grainwise.functions import cells
 from grainwise.functions.predicates import FilterRule, matched, matches, matches_category
+from grainwise.operators import cleaning
 
 
 def one(spark, value, expression):
@@ -143,3 +146,20 @@ def test_incomplete_rules_are_refused(spark):
         with pytest.raises(ValueError):
             matches(df, rule)
     assert df.filter(matches(df, FilterRule("", "equals", "", enabled=False))).count() == 1
+
+
+def test_no_digit_of_a_double_is_rounded(spark):
+    pairs = [(1.23456784e-11, 1.23456781e-11), (1.2345678901234561e-4, 1.2345678901234564e-4), (1.00000000001e-8, 1.00000000002e-8), (-1.00000000001e-8, -1.00000000002e-8)]
+    df = spark.createDataFrame([(v,) for pair in pairs for v in pair], "v double")
+    shown = [r[0] for r in df.select(cells.raw_text(df, "v")).collect()]
+    assert shown[:2] == ["0.0000000000123456784", "0.0000000000123456781"]
+    assert shown == [f"{Decimal(repr(v)):f}" for pair in pairs for v in pair]
+    assert df.select(cells.row_digest(df)).distinct().count() == df.count() == cleaning.keep_first(df).count()
+
+
+def test_plain_form_of_doubles_keeps_their_value(spark):
+    rng = random.Random(8)
+    values = [rng.choice((-1, 1)) * rng.uniform(1, 9.9) * 10.0 ** rng.randint(-12, 17) for _ in range(3000)] + [1e-12, 1e18, 1e15, 12345678.9, 1e7, 1.5e-3, 1e-4, 123456789012345680.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for v, text in df.select("v", cells.raw_text(df, "v")).collect():
+        assert float(text) == v and "E" not in text and not (("." in text) and text.endswith("0")), (v, text)
