@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from grainwise.llm.common import chance, fitting_rows, logistic, per_text
 
 FIT_ROWS = 10_000
-SNIPPET = 4096
+# Pieces of either label, of WINDOW bytes at most, that train the dictionaries.
+PIECES = 5_000
 DICTIONARY = 64 << 10
 # Texts are compressed in windows, else a long text becomes its own dictionary and the two sizes meet.
 WINDOW = 4096
@@ -64,19 +65,23 @@ def _coder(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=prepared)
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pieces: int = PIECES) -> Model:
     """Dictionaries and calibration from at most ``rows`` labelled documents outside the held-out fold.
 
-    Half of them, by a hash of the id, give snippets of at most SNIPPET bytes for the dictionaries; the others, whole, give
-    the features of the regression. Without labels of both kinds the score is constant.
+    Half of them, by a hash of the id, are cut into pieces of WINDOW bytes, as in scoring, from end to end; of either label the
+    ``pieces`` with the smallest hashes of id and piece number train the dictionaries, wherever in a text they are. The other
+    half, whole, gives the features of the regression. Without labels of both kinds the score is constant.
     """
     sample = fitting_rows(docs, labels, "quality", rows, "quality-sample")
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
-    snippets: dict[int, list[bytes]] = {0: [], 1: []}
-    # At most ``rows`` snippets of bounded size.
-    for r in sample.filter(half & F.col("y").isin(0, 1)).select("y", F.substring("text", 1, SNIPPET).alias("t"), F.xxhash64("doc_id").alias("h")).orderBy("h").collect():
-        snippets[r["y"]].append(r["t"].encode())
-    texts, shapes = (tuple(_content([f(t) for t in snippets[y]]) for y in (1, 0)) for f in (bytes, shape))
+
+    def cut():
+        return lambda text: ([text[at: at + WINDOW] for at in range(0, len(text), WINDOW)],)
+    parts = per_text(sample.filter(half & F.col("y").isin(0, 1)), cut, "parts array<binary>", keep=("doc_id", "y"), raw=True)
+    every = parts.select("doc_id", "y", F.posexplode("parts").alias("number", "piece")).withColumn("h", F.xxhash64("doc_id", "number"))
+    # At most ``pieces`` of each label reach the driver, WINDOW bytes each.
+    taken = {y: [bytes(r["piece"]) for r in every.filter(F.col("y") == y).orderBy("h", "doc_id", "number", "piece").limit(pieces).collect()] for y in (0, 1)}
+    texts, shapes = (tuple(_content([f(t) for t in taken[y]]) for y in (1, 0)) for f in (bytes, shape))
     raw = Model(texts, shapes, ())
     seen = per_text(sample.filter(~half), raw.measure, "a double, b double, c double, d double", keep=("y",), raw=True).collect()
     x = np.array([[r["a"], r["b"], r["c"], r["d"]] for r in seen], dtype=float).reshape(-1, 4)
@@ -84,7 +89,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
 
 
 def _content(texts: list[bytes]) -> bytes:
-    """A dictionary trained by the library; with too few texts, the texts themselves."""
+    """A dictionary trained by the library; with too few texts, the texts themselves in the order given, that of their hashes."""
     texts = [t for t in texts if t]
     if not texts:
         return b""

@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import pytest
 from conftest_llm import EDGES, frame
+from pyspark.sql import functions as F
 
 from grainwise.llm import quality, toxicity
 from grainwise.llm.queries import QUERIES
@@ -38,3 +40,16 @@ def test_without_labels_the_score_is_defined(llm, kind):
         assert module.score(docs.limit(0), module.learn(docs.limit(0), labels)).count() == 0
     got = {r["doc_id"]: r["score"] for r in got}
     assert got[12] == got[13]
+
+
+def test_quality_dictionaries_see_whole_texts(llm):
+    """Texts that only differ beyond their first 4,096 characters; the dictionaries learn the rest, whatever its place."""
+    rng = random.Random(3)
+    start = "".join(rng.choices("abcdefgh ", k=5000))
+    ends = {y: [f"{word}{i}" for i in range(300)] for y, word in ((1, "marble"), (0, "pickle"))}
+    docs = frame(llm, [start + " " + " ".join(rng.choices(ends[i % 2], k=1500)) for i in range(120)])
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    good, bad = quality.learn(docs, labels).texts
+    assert b"marble" in good and b"pickle" not in good and b"pickle" in bad and b"marble" not in bad
+    some = quality.learn(docs, labels, pieces=3).texts
+    assert all(0 < len(t) <= 3 * quality.WINDOW for t in some)
