@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver tables, with the DuckDB SQL of those that SQL can express."""
+"""The operators as queries over the driver tables, with the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainwise.llm import bpe, caps, hpy, license, minhash, packing, pii, quality, topk, toxicity
+from grainwise.llm import backtrack, bpe, caps, hpy, license, minhash, packing, pii, quality, repair, topk, toxicity, whitening
 from grainwise.llm.common import per_text, remainder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -112,6 +112,25 @@ def op9_caps(spark: SparkSession, folder: str) -> DataFrame:
     return caps.near_copies(_table(spark, folder, "embeddings"))
 
 
+@_query
+def op11_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, damaged by a hash of its rows and repaired at the least cost."""
+    rows, copies = repair.damaged(_table(spark, folder, "conversations"))
+    return repair.repair(rows, copies)
+
+
+@_query
+def op12_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded by merges with word ends and decoded."""
+    return backtrack.digests(_table(spark, folder, "documents"), WORD_BPE)
+
+
+@_query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the eight strongest components of all vectors, with unit variance."""
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GOOD = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL"
 
@@ -141,3 +160,34 @@ reach(a, b) AS (WITH RECURSIVE r(a, b) AS (SELECT a, b FROM links UNION SELECT r
 f AS (SELECT a, min(b) AS b FROM reach GROUP BY a), n AS (SELECT a, count(DISTINCT b) AS n FROM links GROUP BY a)
 SELECT d.vec_id, coalesce(n.n, 0) AS n_links, least(d.vec_id, coalesce(f.b, d.vec_id)) AS component_id, d.vec_id = least(d.vec_id, coalesce(f.b, d.vec_id)) AS kept
 FROM embeddings d LEFT JOIN n ON n.a = d.vec_id LEFT JOIN f ON f.a = d.vec_id"""
+
+# CRC-32 by its generator, bit by bit, for short ASCII texts. Repair goes row by row through the states of a legal conversation.
+SQL["op11_repair"] = r"""
+WITH RECURSIVE octets AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), b)) AS t),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hashed AS (SELECT given.*, xor(4294967295, list_reduce(list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT)),
+  lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1]), CAST(4294967295 AS BIGINT))) % 20 AS fault FROM given, octets),
+convs AS (SELECT conv_id, row_number() OVER () AS k FROM (SELECT DISTINCT conv_id FROM conversations)),
+said AS (SELECT k, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM hashed JOIN convs ON hashed.conv_id IS NOT DISTINCT FROM convs.conv_id, (SELECT unnest(range(2)) AS copy) WHERE copy < CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS pos FROM said),
+faults AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY pos) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS f, lag(role) OVER (PARTITION BY k ORDER BY pos) AS before FROM placed),
+step(q, c, q2, role) AS (VALUES (0, 's', 1, 'system'), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
+ins(q, q2, cost, audit, lines) AS (VALUES (0, 0, 0, '', CAST([] AS VARCHAR[])), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']),
+  (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])),
+edit AS (SELECT k, pos, q, q AS q2, 3 AS cost, 'D' AS audit, CAST([] AS VARCHAR[]) AS lines FROM faults, (SELECT unnest(range(4)) AS q)
+  UNION ALL SELECT k, pos, q, q2, CAST(f = 'truncated' AS INTEGER), 'K', [faults.role || ':' || text] FROM faults JOIN step ON left(faults.role, 1) = c WHERE f NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT k, pos, q, q2, 2 + CAST(f = 'truncated' AS INTEGER), 'R', [step.role || ':' || text] FROM faults, step WHERE c <> 's' AND f NOT IN ('blank', 'duplicate')),
+way AS (SELECT k, CAST(0 AS BIGINT) AS pos, 0 AS q, {'cost': 0, 'audit': '', 'lines': CAST([] AS VARCHAR[])} AS w FROM convs
+  UNION ALL
+  SELECT way.k, edit.pos, edit.q2, min({'cost': CAST(w.cost + ins.cost + edit.cost AS INTEGER), 'audit': w.audit || ins.audit || edit.audit, 'lines': list_concat(list_concat(w.lines, ins.lines), edit.lines)})
+  FROM way JOIN ins ON ins.q = way.q JOIN edit ON edit.k = way.k AND edit.pos = way.pos + 1 AND edit.q = ins.q2 GROUP BY way.k, edit.pos, edit.q2),
+ends AS (SELECT convs.k, coalesce(max(pos), 0) AS n FROM convs LEFT JOIN faults USING (k) GROUP BY convs.k),
+best AS (SELECT way.k, min({'cost': w.cost + ins.cost, 'audit': w.audit || ins.audit, 'lines': list_concat(w.lines, ins.lines)}) AS w
+  FROM way JOIN ends ON ends.k = way.k AND way.pos = ends.n JOIN ins ON ins.q = way.q AND ins.q2 IN (0, 3) GROUP BY way.k),
+counted AS (SELECT k, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate,
+  count(*) FILTER (f = 'truncated') AS truncated, count(*) FILTER (pos > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(w.cost AS BIGINT) AS cost, w.audit AS audit, sha256(array_to_string(w.lines, chr(10))) AS repaired_sha256
+FROM convs JOIN best USING (k) LEFT JOIN counted USING (k)"""
