@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainwise.llm.common import components, mixed, per_text, ready, shingles, stored, word_hashes
+from grainwise.llm.vectors import runs
 
 # 32 bands of 5 bins: a pair at the similarity of 0.8 shares none with a chance of 3 in a million.
 BANDS, ROWS = 32, 5
 # One bit of every bin is kept besides. Two sets at similarity s agree in (1 + s) / 2 of them on average; a pair whose
 # agreement lies SPREAD standard deviations below that of the wanted similarity is not verified (3 in a million at it).
 SIZE, SPREAD = 1024, 4.5
+# A bucket with more classes, or more bytes of sets, than this is compared in pairs of its blocks.
+BLOCK, BLOCK_BYTES = 1000, 64 << 20
 _LOW = np.uint64((1 << 40) - 1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,10 +98,12 @@ def near_copies(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame
     full sets. A document without words is linked with nothing. Rows with equal doc_id count as linked; a NULL doc_id is
     linked with nothing, has no component and is kept.
 
-    Equal sets are one class, kept as its smallest id. Classes that share a band are candidates. In every band each
-    class is first compared with the smallest one; components of those links leave only pairs of different components
-    to compare. Of these, every pair whose sizes and sketch allow the similarity is verified, so no link between
-    components is lost (but for the chances stated above) and no group is paired with itself.
+    Equal sets are one class, kept as its smallest id. Classes that share a band are candidates. In every band each class is
+    first compared with one centre, the class that meets the most others in all of its bands; components of those links leave
+    only pairs of different components to compare. A bucket that still holds several components is cut into blocks, and every
+    pair of its blocks is a cell, so no task holds a group of copies. A cell verifies every pair whose sizes and sketches allow
+    the similarity, unless links it has found connect the two already, and gives at most one link per class, so no link
+    between components is lost (but for the chances stated above) and no pair becomes a row.
     """
     signed = _signed(docs, words)
     keyed = signed.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
@@ -144,10 +149,14 @@ def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, cls, n, least) of the bands that several classes share; ``least`` is the smallest of them."""
+    """(bucket, cls, n, centre) of the bands that several classes share; ``centre`` is the one that meets the most others in all of its bands."""
     rows = classes.select("cls", "n", F.explode("bands").alias("bucket"))
-    full = stored(rows.groupBy("bucket").agg(F.min("cls").alias("least"), F.count("*").alias("size")).filter("size > 1").select("bucket", "least"), "full")
-    return stored(rows.join(full, "bucket").select("bucket", "cls", "n", "least"), "buckets")
+    full = stored(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "full")
+    shared = stored(rows.join(full, "bucket"), "shared")
+    met = shared.groupBy("cls").agg(F.sum("size").alias("met"))
+    centres = (shared.select("bucket", "cls").join(met, "cls").groupBy("bucket")
+               .agg(F.max(F.struct("met", (-F.col("cls")).alias("minus"))).alias("most")).select("bucket", (-F.col("most.minus")).alias("centre")))
+    return stored(shared.join(stored(centres, "centres"), "bucket").select("bucket", "cls", "n", "centre"), "buckets")
 
 
 def _links(docs: DataFrame, classes: DataFrame, shared: DataFrame, words: int, percent: int) -> DataFrame:
@@ -163,24 +172,36 @@ def _links(docs: DataFrame, classes: DataFrame, shared: DataFrame, words: int, p
     own = per_text(texts, make, "set_key binary, shingles binary", raw=True).groupBy("doc_id", "set_key").agg(F.max("shingles").alias("shingles"))
     sets = stored(own.join(wanted, ["doc_id", "set_key"]).select("cls", "shingles"), "sets")
 
-    star = stored(shared.filter("cls <> least").select(F.col("least").alias("a"), F.col("cls").alias("b")).distinct(), "star")
+    star = stored(shared.filter("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), "star")
     first = stored(verified(star, sets, percent), "links")
     roots = stored(components(first, "first-roots"), "first-roots")
     placed = stored(shared.join(roots, shared["cls"] == roots["id"], "left").select("bucket", "cls", "n", F.coalesce("root", "cls").alias("root")), "placed")
     # Within a band whose classes fall into several components, all but the largest component are compared with the rest.
-    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"))
-    several = stored(parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("size", "root")).alias("major")).filter("parts > 1").select("bucket", "major"), "several")
-    # A pair is met in the first band that both have, if its sizes and its bits allow the similarity; nothing else is put out.
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("size"), F.sum("n").alias("elements"))
+    several = stored(parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("size", "root")).alias("major"),
+                                                 F.ceil(F.greatest(F.sum("size") / BLOCK, F.sum("elements") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+                     .filter("parts > 1").select("bucket", "major", "blocks"), "several")
     signs = classes.select(F.col("cls").alias("of"), "bands", "bits")
-    opened = stored(placed.join(several, "bucket").join(signs, F.col("cls") == F.col("of")).select("bucket", "cls", "n", "root", "major", "bands", "bits"), "opened")
-    small = stored(opened.filter("root <> major").select("bucket", *[F.col(c).alias(f"{c}2") for c in ("cls", "n", "root", "bands", "bits")]), "small")
-    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(SIZE // 64)), F.lit(0))
-    meet = ((opened["bucket"] == small["bucket"]) & (F.col("root") != F.col("root2")) & ((F.col("root") == F.col("major")) | (F.col("cls") < F.col("cls2")))
-            & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (SIZE - differ >= least_agreement(percent))
-            & (F.array_min(F.array_intersect("bands", "bands2")) == opened["bucket"]))
-    cross = opened.join(small, meet).select(F.least("cls", "cls2").alias("a"), F.greatest("cls", "cls2").alias("b")).distinct()
-    rest = stored(cross.join(star, ["a", "b"], "left_anti"), "cross")
-    return first.union(verified(rest, sets, percent))
+    opened = placed.join(several, "bucket").join(signs, F.col("cls") == F.col("of"))
+    cells = stored(_entered(opened).mapInArrow(_met(percent, verify=False), f"{CELL}, open int").filter("open = 1").drop("open"), "cells")
+    rest = cells.join(sets.select(F.col("cls").alias("of"), "shingles"), F.col("cls") == F.col("of")).drop("of")
+    cross = _sorted(rest).mapInArrow(_met(percent, verify=True), "a bigint, b bigint")
+    return first.union(stored(cross, "cross"))
+
+
+CELL = "bucket bigint, i int, j int, own int, cls bigint, n bigint, root bigint, major bigint, bands array<bigint>, bits array<bigint>"
+
+
+def _sorted(cells: DataFrame) -> DataFrame:
+    return cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "cls")
+
+
+def _entered(opened: DataFrame) -> DataFrame:
+    """The classes of a bucket in all pairs of its blocks that hold them."""
+    names = [c.split()[0] for c in CELL.split(", ")]
+    return _sorted(opened.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+                   .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                   .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(*names))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -197,3 +218,42 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
             .select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+
+
+def _met(percent: int, verify: bool):
+    """Per cell: its classes that have candidates, or the links between components that its full sets confirm."""
+    least = least_agreement(percent)
+
+    def run(batches):
+        for cell in runs(batches, ["bucket", "i", "j"]):
+            bucket, i, j = (cell.column(k)[0].as_py() for k in ("bucket", "i", "j"))
+            cls, n, root, major, own = (cell.column(k).to_numpy() for k in ("cls", "n", "root", "major", "own"))
+            band = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
+            bit = cell.column("bits").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
+            sets = [np.frombuffer(x, np.uint64) for x in cell.column("shingles").to_pylist()] if verify else []
+            small, label, met, found = root != major, root.copy(), np.zeros(len(cls), bool), []
+            earlier = band < bucket
+            for a in np.flatnonzero(small).tolist():
+                # Of two classes outside the largest component the earlier one meets the later one.
+                other = (root != root[a]) & (~small | (np.arange(len(cls)) > a)) & (100 * np.minimum(n, n[a]) >= percent * np.maximum(n, n[a]))
+                if i != j:
+                    other &= own != own[a]
+                at = np.flatnonzero(other)
+                at = at[SIZE - np.bitwise_count(bit[at] ^ bit[a]).sum(axis=1, dtype=np.int64) >= least]
+                # A pair is met in the first band that both have.
+                at = at[~((band[at] == band[a]) & earlier[at]).any(axis=1)]
+                if not verify:
+                    met[a] |= len(at) > 0
+                    met[at] = True
+                    continue
+                for b in at.tolist():
+                    if label[a] != label[b]:
+                        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                        if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                            found.append((cls[a], cls[b]))
+                            label[label == label[a]] = label[b]
+            if verify:
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            else:
+                yield from pa.table([*cell.columns, pa.array(met.astype(np.int32))], names=[*cell.column_names, "open"]).combine_chunks().to_batches()
+    return run

@@ -75,6 +75,36 @@ def test_links_across_components_of_one_band(llm):
     assert [got[i] for i in range(len(texts))] == groups(len(texts), lambda a, b: similar(sets[a], sets[b]))
 
 
+def test_a_group_whose_members_hang_together_by_chains(llm):
+    """2,000 chained copies, none of which is near all others, in shuffled order; blocks of 100 classes."""
+    rng = random.Random(12)
+    own, texts = [f"v{i}" for i in range(120)], []
+    for k in range(2_000):
+        texts.append(" ".join(own))
+        own[(7 * k) % 120] = f"w{k}"
+    order = rng.sample(range(2_000), 2_000)
+    docs = llm.createDataFrame([(order[i], t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(6)
+    for block in (100, 5_000):
+        minhash.BLOCK, before = block, minhash.BLOCK
+        try:
+            got = minhash.near_copies(docs).select("component_id", "kept").distinct().collect()
+        finally:
+            minhash.BLOCK = before
+        assert {r["component_id"] for r in got} == {0}
+
+
+def test_recall_at_exactly_the_threshold(llm):
+    """400 pairs of sets of 90 shingles that share 80: a similarity of exactly 0.8."""
+    texts = []
+    for k in range(400):
+        own = [f"p{k}w{i}" for i in range(93)]
+        texts += [" ".join(own), " ".join([*own[:83], *[f"q{k}w{i}" for i in range(10)]])]
+    sets = text_sets(texts, 4)
+    assert all(100 * len(sets[i] & sets[i + 1]) == 80 * len(sets[i] | sets[i + 1]) for i in range(0, 800, 2))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(frame(llm, texts)).collect()}
+    assert sum(got[i + 1] == i for i in range(0, 800, 2)) == 400
+
+
 def test_null_ids_repeated_rows_and_empty_tables(llm):
     rows = [(None, "one two three four five"), (5, "one two three four five"), (5, "one two three four five"), (4, "ONE two three  four five"), (7, None), (8, "x"), (8, "y"), (6, "y")]
     docs = llm.createDataFrame(rows, "doc_id bigint, text string")
