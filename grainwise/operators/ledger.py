@@ -43,57 +43,6 @@ def check_transitions(log: DataFrame, task: str, state: str, order: list[str], c
     return earlier.withColumn("valid", allowed(F.col("from_state"), F.col(state)))
 
 
-def classify_writes(
-    log: DataFrame, task: str, write_key: str, revision: str, order: list[str], chunk: Column
-) -> DataFrame:
-    """Outcome of every write of a task snapshot, in log order.
-
-    A write names the revision it was based on (0 for a new task). It is
-
-    * ``replayed`` when its write key was used before for the same task,
-    * ``conflict`` when the key was used for another task, or when the revision
-      it is based on is no longer the current one,
-    * ``saved`` when it is based on the current revision, which it increments,
-    * ``unissued`` when it names a revision this log has never reached.
-
-    Writers can only quote revisions they were given, so among the writes that
-    are not replays the current revision is one more than the largest quoted so
-    far. A running maximum is all the state there is, and it can be carried
-    across chunks. If ``unissued`` rows appear, later outcomes of that task are
-    not reliable and the log itself is at fault.
-    """
-    place = F.struct(*[F.col(o) for o in order])
-    first = log.groupBy(F.col(write_key).alias("__wk")).agg(
-        F.min(place).alias("__first"), F.min_by(F.col(task), place).alias("__owner")
-    )
-    marked = log.join(first, F.col(write_key) == F.col("__wk"), "left").withColumn("__again", place != F.col("__first"))
-    fresh = ~F.col("__again")
-    earlier = with_earlier(
-        marked, [task], chunk, order, [Carry("__top", "max", F.col(revision), where=fresh)]
-    )
-    current = F.coalesce(F.col("__top") + 1, F.lit(0))
-    outcome = (
-        F.when(F.col("__again") & (F.col("__owner") == F.col(task)), F.lit("replayed"))
-        .when(F.col("__again"), F.lit("conflict"))
-        .when(F.col(revision) == current, F.lit("saved"))
-        .when(F.col(revision) < current, F.lit("conflict"))
-        .otherwise(F.lit("unissued"))
-    )
-    return earlier.select(
-        *log.columns, current.cast("bigint").alias("current_revision"), outcome.alias("outcome")
-    )
-
-
-def latest_snapshots(writes: DataFrame, task: str, revision: str, columns: list[str]) -> DataFrame:
-    """The newest saved snapshot of each task: an aggregate, never a sort per task."""
-    picked = F.max_by(F.struct(*[F.col(c) for c in columns]), F.col(revision)).alias("s")
-    return (
-        writes.filter(F.col("outcome") == "saved").groupBy(task)
-        .agg((F.max(revision) + 1).cast("bigint").alias("stored_revision"), picked)
-        .select(task, "stored_revision", "s.*")
-    )
-
-
 def call_budget(calls: DataFrame, input_tokens: str, output_tokens: str, cap: int = CALL_CAP) -> DataFrame:
     """How much of a fixed lifetime budget the calls used; one combinable aggregate."""
     i, o = F.col(input_tokens), F.col(output_tokens)

@@ -5,12 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conftest import passed, text_frame
+from frames import passed, text_frame
 from grainwise.operators import audit
 from grainwise.plans import retail
 from grainwise.plans.retail import Retail
 from grainwise.session import cut_lineage
-from grainwise.sources import csv, sinks
+from grainwise.sources import csv, intake, sinks
 
 
 def test_redaction(spark):
@@ -116,19 +116,65 @@ def test_scan_tables_and_manifest(spark, tmp_path):
 
 
 def test_csv_sink(spark, tmp_path):
-    df = spark.createDataFrame([(1, -5.0, '=SUM(A1)', 'a "b", c'), (2, None, None, "line\nbreak")], "order_id int, amount double, note string, `=h` string")
+    df = spark.createDataFrame([(1, -5.0, '=SUM(A1)', 'a "b", c'), (2, None, None, "line\nbreak"), (3, 1.5e-7, " x ", "")], "order_id int, amount double, note string, `=h` string")
     sinks.write_csv(df.coalesce(1), str(tmp_path / "out"))
     raw = next((tmp_path / "out").glob("part-*")).read_bytes().decode()
-    assert raw == ("order_id,amount,note,'=h\r\n" '1,-5,\'=SUM(A1),"a ""b"", c"\r\n' '2,,,"line\nbreak"\r\n')
+    assert raw == ("order_id,amount,note,'=h\n" '1,-5,\'=SUM(A1),"a ""b"", c"\n' '2,,,"line\nbreak"\n' "3,0.00000015, x ,\n")
+
+
+def test_csv_sink_of_an_empty_result_and_with_a_mark(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x")], "order_id int, note string")
+    sinks.write_csv(df.filter("order_id > 1"), str(tmp_path / "empty"), bom=True)
+    assert [f.read_bytes().decode() for f in (tmp_path / "empty").glob("part-*")] == ["\ufefforder_id,note\n"]
+    sinks.write_csv(spark.createDataFrame([], df.schema), str(tmp_path / "none"))
+    assert [f.read_bytes().decode() for f in (tmp_path / "none").glob("part-*")] == ["order_id,note\n"]
+    sinks.write_csv(df, str(tmp_path / "marked"), bom=True)
+    assert intake.read(spark, str(tmp_path / "marked")).rows.collect() == [("1", "x")]
 
 
 def test_every_csv_file_has_the_header_once_and_reads_back(spark, tmp_path):
     df = spark.range(100).select(F.col("id"), F.concat(F.lit('x, "'), F.col("id").cast("string"), F.lit("\n")).alias("note"))
     sinks.write_csv(df.repartition(4, "id"), str(tmp_path / "out"))
     files = [f.read_bytes().decode() for f in (tmp_path / "out").glob("part-*")]
-    assert len(files) > 1 and all(f.startswith("id,note\r\n") and f.count("id,note") == 1 for f in files)
-    back = csv.read_csv(spark, str(tmp_path / "out"))
-    assert {(int(r.id), r.note) for r in back.collect()} == {(r.id, r.note) for r in df.collect()}
+    assert len(files) > 1 and all(f.startswith("id,note\n") and f.count("id,note") == 1 for f in files)
+    for back in (csv.read_csv(spark, str(tmp_path / "out")), intake.read(spark, str(tmp_path / "out")).rows):
+        assert {(int(r.id), r.note) for r in back.collect()} == {(r.id, r.note) for r in df.collect()}
+
+
+def test_intake_of_files_of_all_kinds(spark, tmp_path):
+    (tmp_path / "a 1.csv").write_bytes("\ufeffMonthly report\r\n\r\norder_id,name,amount\r\nO-1,x,5,late,very\r\n , ,null\r\nO-2,,7\r\n".encode())
+    (tmp_path / "b.csv").write_text('amount;order_id;region\n1,5;O-3;"N;""S"\n2;"O\n-4";E\n')
+    (tmp_path / "c.csv").write_text('order_id\tfile\tname\nO-5\tf\t"a;b,c"\n')
+    (tmp_path / "d.csv").write_text('name,order_id,name\n"x\n,y",O-6,z,"p\nq",r\n')
+    found = intake.read(spark, str(tmp_path))
+    assert found.rows.columns == ["order_id", "name", "amount", "未命名列 4", "未命名列 5", "region", "file", "name（2）"]
+    assert {tuple(r) for r in found.rows.collect()} == {
+        ("O-1", "x", "5", "late", "very", None, None, None), ("O-2", None, "7", None, None, None, None, None),
+        ("O-3", None, "1,5", None, None, 'N;"S', None, None), ("O\n-4", None, "2", None, None, "E", None, None),
+        ("O-5", "a;b,c", None, None, None, None, "f", None), ("O-6", "x\n,y", None, "p\nq", "r", None, None, "z")}
+    how = {r.file.rsplit("/", 1)[1][0]: (r.delimiter, r.multiline, r.width, r.header_row) for r in found.survey.collect()}
+    assert how == {"a": (",", False, 5, 2), "b": (";", True, 3, 1), "c": ("\t", False, 3, 1), "d": (",", True, 5, 1)}
+
+
+def test_intake_of_large_files_is_split_and_empty_ones_are_refused(spark, tmp_path):
+    lines = ["a title;", "order_id;amount"] + [f"O-{i};{i}" for i in range(20_000)]
+    (tmp_path / "big.csv").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = intake.read(spark, str(tmp_path)).rows
+        assert rows.agg(F.count("*"), F.countDistinct("order_id"), F.sum(F.col("amount").cast("int"))).first() == (20_000, 20_000, 199_990_000)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "e.csv").write_text("\n \n")
+    with pytest.raises(csv.EmptyTable):
+        intake.read(spark, str(tmp_path / "none"))
+
+
+def test_events_without_a_task_are_not_frozen(spark):
+    df = spark.createDataFrame([(None, "COMPLETED", 1), (None, "PLANNING", 2), ("t", "COMPLETED", 1), ("t", "PLANNING", 2)], "task string, state string, at int")
+    assert {(r.task, r["at"]) for r in audit.frozen_events(df, "task", "state", "at").collect()} == {(None, 1), (None, 2), ("t", 1)}
 
 
 def test_pages(spark):

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import passed, text_frame
+from frames import passed, text_frame
 from grainwise.operators import joins, keys, reconcile
 from grainwise.operators.joins import JoinRefused, JoinSpec, Step
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import text_frame
+from frames import text_frame
 from grainwise.functions import cells
 from grainwise.operators import cleaning, impact, order_stats, profile, quality
 from grainwise.operators.cleaning import Repair

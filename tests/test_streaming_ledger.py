@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from grainwise.operators import ledger
+from grainwise.operators import ledger, writes
 from grainwise.operators.history import Carry, with_earlier
-from grainwise.streaming import alerts, upserts, windows
+from grainwise.streaming import alerts, replay, upserts, windows
 
 T0 = dt.datetime(2024, 1, 1)
 FINE = (True, True, [])
@@ -91,18 +91,18 @@ def test_alert_batch_equals_the_rules(spark):
     assert notes(alerts.batch(*batch_frames(spark, rows))) == walk(rows)
 
 
-def test_alert_stream_equals_the_batch(spark, tmp_path):
-    """Two micro-batches, the history carried between them."""
-    rows = random_rows(3, 40)
-    source, half = str(tmp_path / "in"), T0 + dt.timedelta(hours=20)
-    collected = []
-    for part in ([r for r in rows if r[1] < half], [r for r in rows if r[1] >= half]):
-        spark.createDataFrame(part, OBSERVED).coalesce(1).write.mode("append").parquet(source)
-        query = alerts.stream(spark.readStream.schema(OBSERVED).parquet(source), lambda told, _: collected.extend(told.collect()),
-                              str(tmp_path / "history"), str(tmp_path / "state"))
-        assert query.awaitTermination(120)
-    got = {(r.service, r.cycle): (r.phase, r.notification, r.severity, r.reason) for r in collected}
-    assert got == walk(rows) and len(collected) == len(rows)
+@pytest.mark.parametrize("cuts", [[20], [1, 2, 3, 5, 13, 14, 30]])
+def test_alert_stream_equals_the_batch(spark, tmp_path, cuts):
+    """Several micro-batches, between which at most four cycles of a service are kept."""
+    rows = random_rows(4, 40)
+    frame = spark.createDataFrame(rows, OBSERVED)
+    hour = F.timestamp_diff("HOUR", F.lit(T0), F.col("cycle"))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    replay.in_parts(frame, sum(((hour >= c).cast("int") for c in cuts), F.lit(0)), len(cuts) + 1,
+                    lambda stream, checkpoint: alerts.stream(stream, replay.collected(out), state, checkpoint))
+    assert notes(spark.read.parquet(out)) == walk(rows)
+    for side in ("0", "1"):
+        assert spark.read.parquet(f"{state}/cycles-{side}").groupBy("service").count().agg(F.max("count")).first()[0] <= 4
 
 
 def test_request_window_on_batch_and_stream(spark, tmp_path):
@@ -123,66 +123,96 @@ def test_request_window_on_batch_and_stream(spark, tmp_path):
     assert {(r.route, r.requests) for r in spark.table("counts").collect()} == {("a", 20), ("a", 4)}
 
 
-def sequential(rows):
-    """Compare-and-set, write by write: the rule the set-based form must reproduce."""
-    current, seen, out = {}, {}, []
-    for task, key, based_on, _, _ in sorted(rows, key=lambda r: (r[3], r[4])):
-        if key in seen:
-            out.append((key, "replayed" if seen[key] == task else "conflict"))
-            continue
-        seen[key] = task
+def sequential(rows, revisions=None, owners=None):
+    """Compare-and-set, write by write: the rule the chunked form must reproduce."""
+    current, owner, out = dict(revisions or {}), dict(owners or {}), {}
+    for task, key, based_on, at, n in sorted(rows, key=lambda r: (r[3], r[4])):
         now = current.get(task, 0)
-        out.append((key, "saved" if based_on == now else "conflict"))
-        current[task] = now + (based_on == now)
-    return sorted(out), current
-
-
-def write_log():
-    """Writers quote revisions they were given; a third of all writes hit one task."""
-    random.seed(11)
-    rows, issued = [], {}
-    for i in range(900):
-        task = "hot" if i % 3 == 0 else f"t{random.randrange(25)}"
-        now = issued.get(task, 0)
-        based_on = now if random.random() > 0.3 else random.randrange(now + 1)
-        key = f"k{i}"
-        if rows and random.random() < 0.1:
-            task, key, based_on = random.choice(rows)[:3]  # sent again
+        if task is None:
+            out[n] = (None, "conflict")
+        elif key is not None and key in owner:
+            out[n] = (now, "replayed" if owner[key] == task else "conflict")
         elif based_on == now:
-            issued[task] = now + 1
-        rows.append((task, key, based_on, T0 + dt.timedelta(minutes=7 * i), i))
-    rows.append(("t1", "k0", 0, T0 + dt.timedelta(days=30), 10_000))  # a key of another task
+            out[n] = (now, "saved")
+            current[task] = now + 1
+            if key is not None:
+                owner[key] = task
+        else:
+            out[n] = (now, "conflict")
+    return out, current, owner
+
+
+def write_log(seed, n=700):
+    """A third of all writes hit one task; keys come back, after saves and after conflicts, for the same task and for others."""
+    rng = random.Random(seed)
+    rows, guess = [], {}
+    for i in range(n):
+        task = "hot" if i % 3 == 0 else f"t{rng.randrange(8)}"
+        key = rng.choice(rows)[1] if rows and rng.random() < 0.25 else f"k{i}"
+        based_on = max(0, guess.get(task, 0) + rng.choice([0, 0, 0, 0, -1, 1, -2]))
+        guess[task] = max(guess.get(task, 0), based_on + (rng.random() < 0.7))
+        if rng.random() < 0.02:
+            task, key, based_on = rng.choice([(None, key, based_on), (task, None, based_on), (task, key, None)])
+        rows.append((task, key, based_on, T0 + dt.timedelta(minutes=7 * (i // 2)), i))
     return rows
 
 
-def test_write_outcomes_equal_sequential_rule(spark):
-    rows = write_log()
-    df = spark.createDataFrame(rows, "task string, write_key string, based_on bigint, at timestamp, n bigint").repartition(5)
-    out = ledger.classify_writes(df, "task", "write_key", "based_on", ["at", "n"], F.date_trunc("day", "at"))
-    expected, current = sequential(rows)
-    assert sorted((r.write_key, r.outcome) for r in out.collect()) == expected
-    latest = {r.task: r.stored_revision for r in ledger.latest_snapshots(out, "task", "based_on", ["write_key"]).collect()}
-    assert latest == {t: n for t, n in current.items() if n}
+WRITES = "task string, write_key string, based_on bigint, at timestamp, n bigint"
 
 
-def test_unissued_revisions_are_named(spark):
-    df = spark.createDataFrame([("t", "a", 0, T0, 1), ("t", "b", 5, T0, 2)],
-                               "task string, write_key string, based_on bigint, at timestamp, n bigint")
-    out = ledger.classify_writes(df, "task", "write_key", "based_on", ["at", "n"], F.to_date("at"))
-    assert {r.write_key: r.outcome for r in out.collect()} == {"a": "saved", "b": "unissued"}
+def told(df):
+    return {r.n: (r.current_revision, r.outcome) for r in df.collect()}
 
 
-def test_write_stream(spark, tmp_path):
-    rows = [r[:4] for r in write_log() if r[3] < T0 + dt.timedelta(days=29)]
-    schema = "task string, write_key string, based_on bigint, at timestamp"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    collected = []
-    stream = upserts.outcomes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "40 days")
-    query = upserts.run(stream, lambda b, _: collected.extend(b.collect()), str(tmp_path / "cp"))
-    assert query.awaitTermination(120)
-    expected, current = sequential([(*r, i) for i, r in enumerate(rows)])
-    assert sorted((r.write_key, r.outcome) for r in collected) == [e for e in expected if e[1] != "replayed"]
-    assert {t: max(r.stored_revision for r in collected if r.task == t) for t in current} == current
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_write_outcomes_equal_the_fold(spark, seed):
+    rows = write_log(seed)
+    df = spark.createDataFrame(rows, WRITES).repartition(5)
+    out = writes.classify_writes(df, "task", "write_key", "based_on", ["at", "n"], F.date_trunc("hour", "at"))
+    expected, current, _ = sequential(rows)
+    assert told(out) == expected
+    assert {o for _, o in expected.values()} == {"saved", "replayed", "conflict"}
+    latest = {r.task: r.stored_revision for r in writes.latest_snapshots(out, "task", "based_on", ["write_key"]).collect()}
+    assert latest == {t: v for t, v in current.items() if v}
+
+
+def test_a_key_is_taken_by_its_save_not_by_its_first_use(spark):
+    rows = [("a", "k", 5, T0, 0), ("b", "k", 0, T0, 1), ("a", "k", 0, T0, 2), ("a", "m", 0, T0, 3), ("b", "k", 1, T0, 4), ("b", "m", 1, T0, 5), ("b", "p", 1, T0, 6)]
+    out = writes.classify_writes(spark.createDataFrame(rows, WRITES), "task", "write_key", "based_on", ["at", "n"], F.col("n"))
+    assert [o for _, (_, o) in sorted(told(out).items())] == ["conflict", "saved", "conflict", "saved", "replayed", "conflict", "saved"]
+
+
+def test_writes_go_on_from_a_snapshot(spark):
+    rows = write_log(5, 300)
+    first, current, owners = sequential(rows[:150])
+    second, _, _ = sequential(rows[150:], current, owners)
+    out = writes.classify_writes(
+        spark.createDataFrame(rows[150:], WRITES), "task", "write_key", "based_on", ["at", "n"], F.date_trunc("day", "at"),
+        spark.createDataFrame(list(current.items()), "task string, revision bigint"), spark.createDataFrame(list(owners.items()), "write_key string, task string"))
+    assert told(out) == second
+    empty = spark.createDataFrame([], WRITES)
+    assert writes.classify_writes(empty, "task", "write_key", "based_on", ["at", "n"], F.col("n")).count() == 0
+
+
+def test_write_stream_equals_the_fold(spark, tmp_path):
+    """Three micro-batches, each a run of its own that resumes from the checkpoint."""
+    rows = write_log(7, 360)
+    out = str(tmp_path / "out")
+    frame = spark.createDataFrame(rows, WRITES)
+    replay.in_parts(frame, F.floor(F.col("n") / 120), 3, lambda stream, checkpoint: upserts.stream(
+        stream, replay.collected(out), str(tmp_path / "state"), checkpoint, ["at", "n"]))
+    expected, current, owners = sequential(rows)
+    assert told(spark.read.parquet(out)) == expected
+    assert dict(spark.read.parquet(str(tmp_path / "state" / "revisions-0")).filter("task IS NOT NULL AND revision IS NOT NULL").collect()) == {t: v for t, v in current.items() if v}
+    assert {(r.write_key, r.task) for r in spark.read.parquet(str(tmp_path / "state" / "owners-0")).collect()} == set(owners.items())
+
+
+def test_old_keys_are_forgotten(spark, tmp_path):
+    rows = [("a", "k", 0, T0, 0), ("a", "m", 1, T0 + dt.timedelta(days=9), 1), ("a", "k", 2, T0 + dt.timedelta(days=9), 2), ("a", "m", 3, T0 + dt.timedelta(days=10), 3)]
+    out = str(tmp_path / "out")
+    replay.in_parts(spark.createDataFrame(rows, WRITES), F.col("n"), 4, lambda stream, checkpoint: upserts.stream(
+        stream, replay.collected(out), str(tmp_path / "state"), checkpoint, ["at", "n"], keep="7 days"))
+    assert [o for _, (_, o) in sorted(told(spark.read.parquet(out)).items())] == ["saved", "saved", "saved", "replayed"]
 
 
 def test_history_equals_plain_window(spark):
