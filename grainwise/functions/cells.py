@@ -89,7 +89,7 @@ def _shifted(shown: Column) -> Column:
 
 
 def raw_text(df: DataFrame, name: str) -> Column:
-    """Untrimmed text form of a cell; whole floating numbers print without '.0', others from 1e-12 to 1e18 without an exponent."""
+    """Untrimmed text form of a cell; whole floating numbers print without '.0', none with an exponent."""
     c = col(name)
     kind = data_type(df, name)
     if is_text(df, name):
@@ -97,7 +97,7 @@ def raw_text(df: DataFrame, name: str) -> Column:
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         whole = (c == F.floor(c)) & (F.abs(c) < F.lit(1e15))
         shown = c.cast("string")
-        exponent = F.contains(shown, F.lit("E")) & F.abs(c).between(1e-12, 1e18)
+        exponent = F.contains(shown, F.lit("E"))
         return F.when(whole, c.cast("bigint").cast("string")).when(exponent, _shifted(shown)).otherwise(shown)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

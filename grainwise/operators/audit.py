@@ -89,14 +89,15 @@ def capped_groups(rows: DataFrame, order: list[Column], shown: int = GROUPS_SHOW
 def frozen_events(events: DataFrame, task: str, state: str, at: str) -> DataFrame:
     """Events of a task up to its last completion; open tasks keep all of theirs.
 
-    The completion moment is one row per task. A task with very many events is
-    an ordinary skewed join key, which AQE splits.
+    The completion moment is one row per completed task. A task with very many events
+    is an ordinary skewed join key, which AQE splits. Events without a task are no
+    task: none of them freezes another.
     """
-    done = events.groupBy(F.col(task).alias("__task")).agg(
+    done = events.filter(F.col(task).isNotNull()).groupBy(F.col(task).alias("__task")).agg(
         F.max(F.when(F.col(state) == "COMPLETED", F.col(at))).alias("completed_at")
     )
     return (
-        events.join(done, F.col(task).eqNullSafe(F.col("__task")))
+        events.join(done, F.col(task) == F.col("__task"), "left")
         .filter(F.col("completed_at").isNull() | (F.col(at) <= F.col("completed_at")))
         .drop("__task")
     )

@@ -241,23 +241,33 @@ def guarded_ratio(df: DataFrame, analysis: Analysis) -> DataFrame:
     return analyse(df, analysis)
 
 
-def result_checks(
-    df: DataFrame, analysis: Analysis, groups: DataFrame | None = None, shown: int = MOST_GROUPS_SHOWN
-) -> DataFrame:
+def in_order(delivered: DataFrame, by: list[str], descending: bool = False) -> DataFrame:
+    """One row (ordered, shown): do the rows come in the order of the columns, the first one descending if asked, ties ascending?
+
+    Rows are compared with the one before them in their own partition. The first and last row of each partition, one
+    row per partition, are then compared across the borders, so no window spans the result.
+    """
+    held = delivered.select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)]).alias("row"),
+                            F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
+    lead, lag = F.col("row.k0"), F.col("before.k0")
+    beyond = lead < lag if descending else lead > lag
+    right = F.col("before").isNull() | beyond | (lead.eqNullSafe(lag) & (F.col("row") >= F.col("before")))
+    inside = held.withColumn("before", F.lag("row").over(Window.partitionBy("part").orderBy("place")))
+    parts = inside.groupBy("part").agg(F.coalesce(F.min(F.coalesce(right, F.lit(False))), F.lit(True)).alias("ordered"), F.count(F.lit(1)).alias("shown"),
+                                       F.min_by("row", "place").alias("row"), F.max_by("row", "place").alias("last"))
+    across = parts.withColumn("before", F.lag("last").over(Window.orderBy("part")))
+    return across.agg(F.coalesce(F.min(F.col("ordered") & F.coalesce(right, F.lit(False))), F.lit(True)).alias("ordered"),
+                      F.coalesce(F.sum("shown"), F.lit(0)).alias("shown"))
+
+
+def result_checks(df: DataFrame, analysis: Analysis, groups: DataFrame | None = None, delivered: DataFrame | None = None) -> DataFrame:
     """(check, passed): reconciled rows, finite values, order, ratio bounds, N bound.
 
-    All but the order are aggregates over the group frame. The order is read
-    back from at most ``shown`` leading rows with ``lag``: a report never has
-    more, and a window over every group would be one task.
+    ``delivered`` is the result as it was handed out, every row of it in its order; by default that of ``analyse``.
     """
     groups = per_group(df, analysis) if groups is None else groups
-    head = analyse(df, analysis, groups).limit(min(shown, analysis.limit) if analysis.shape == "top_n" else shown)
-    leading = F.col("key") if analysis.shape == "trend" else F.col("value")
-    before = F.lag(leading).over(Window.orderBy(*order(analysis)))
-    rising = analysis.shape == "trend" or not analysis.descending
-    ordered = head.select((leading >= before if rising else leading <= before).alias("in_order")).agg(
-        F.coalesce(F.min("in_order"), F.lit(True)).alias("ordered"), F.count(F.lit(1)).alias("shown")
-    )
+    delivered = analyse(df, analysis, groups) if delivered is None else delivered
+    ordered = in_order(delivered, ["key"]) if analysis.shape == "trend" else in_order(delivered, ["value", "key"], analysis.descending)
     within = F.col("value").between(0, 1) & (F.col("numerator") <= F.col("denominator"))
     books = groups.agg(
         *_books(), F.coalesce(F.min(F.when(_inside() & _finite(), within)), F.lit(False)).alias("bounded")

@@ -14,7 +14,7 @@ from grainwise.functions import cells
 from grainwise.operators.profile import column_stats
 from grainwise.queries.base import TABLE_NAMES, Tables, query, rounded, trim, txt
 from grainwise.session import scratch_path
-from grainwise.sources import csv, sinks
+from grainwise.sources import csv, intake, sinks
 
 
 def _lines(t: Tables) -> DataFrame:
@@ -118,14 +118,63 @@ def trimmed_text(t: Tables) -> DataFrame:
                      cells.missing(df, "text").alias("missing"))
 
 
-@query("csv_round_trip", "S1 S8", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, length(text) AS length, md5(text) AS digest
-    FROM documents""")
+@query("csv_round_trip", "S1 S8", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, CAST(n_chars AS VARCHAR) AS n_chars, length(text) AS length,
+    md5(text) AS digest FROM documents""")
 def csv_round_trip(t: Tables) -> DataFrame:
     """All documents written as CSV and scanned back: quotes, commas and line breaks survive."""
     path = scratch_path(t.spark, "documents")
-    sinks.write_csv(t.documents.select("doc_id", "lang", "text"), path, guard=False)
-    back = csv.read_csv(t.spark, path)
-    return back.select("doc_id", "lang", F.length("text").cast("bigint").alias("length"), F.md5("text").alias("digest"))
+    sinks.write_csv(t.documents, path, guard=False, bom=True)
+    back = intake.read(t.spark, path).rows
+    return back.select("doc_id", "lang", "source", "n_chars", F.length("text").cast("bigint").alias("length"), F.md5("text").alias("digest"))
+
+
+# Four kinds of files: a title above the header; semicolons, columns swapped and quotes in cells; tabs and cells beyond the
+# header; line breaks in cells. Ranks 0 and 1 are the title and the header.
+FILES = {
+    0: (",", "['Customers, all', NULL, NULL, NULL]", "['customer id', 'name', 'balance', NULL]", "[id, c_name, balance, NULL]"),
+    1: (";", "['Kunden', NULL, NULL, NULL]", "['balance', 'customer id', 'name', NULL]", "[balance, id, concat(c_name, '; \"x\"'), NULL]"),
+    2: ("\t", None, "['customer id', 'balance', 'name', NULL]", "[id, balance, c_name, CASE WHEN c_acctbal < 0 THEN 'owes' END]"),
+    3: (",", None, "['name', 'balance', 'customer id', NULL]", "[concat(c_name, chr(10), 'second, line'), balance, id, NULL]"),
+}
+_CELLS = "SELECT c_custkey % 4 AS kind, CAST(c_custkey AS STRING) AS id, c_name, CAST(c_acctbal AS STRING) AS balance, c_acctbal FROM customer"
+
+
+def _customer_files(t: Tables) -> str:
+    """The customers as CSV files of the four kinds, eight files each."""
+    path, rows = scratch_path(t.spark, "customers"), t.customer.selectExpr(
+        "c_custkey % 4 AS kind", "CAST(c_custkey AS STRING) AS id", "c_name", "CAST(c_acctbal AS STRING) AS balance", "c_acctbal")
+    for kind, (delimiter, title, header, row) in FILES.items():
+        mine = rows.filter(F.col("kind") == kind).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(8)))
+        parts = mine.select("part").distinct()
+        lists = [parts.selectExpr("part", f"{i} AS rank", "'' AS id", f"array({text[1:-1]}) AS cells") for i, text in enumerate((title, header)) if text]
+        data = mine.selectExpr("part", "2 AS rank", "id", f"array({row[1:-1]}) AS cells")
+        for one in lists:
+            data = data.unionByName(one)
+        placed = data.repartition("part").sortWithinPartitions("part", "rank", "id")
+        # Without a surplus cell a line has no fourth place.
+        wide = placed.select("part", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(4 if kind == 2 else 3)])
+        wide.write.partitionBy("part").option("sep", delimiter).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(f"{path}/kind={kind}")
+    return path
+
+
+@query("csv_intake", "S1 S2 S3 S4", f"""WITH c AS ({_CELLS}) SELECT id AS "customer id",
+    CASE kind WHEN 1 THEN concat(c_name, '; "x"') WHEN 3 THEN concat(c_name, chr(10), 'second, line') ELSE c_name END AS name, balance,
+    CASE WHEN kind = 2 AND c_acctbal < 0 THEN 'owes' END AS "{csv.BLANK_NAME}4" FROM c""")
+def csv_intake(t: Tables) -> DataFrame:
+    """Files of different delimiters, header rows and column orders as one table; nothing about them is told."""
+    return intake.read(t.spark, _customer_files(t)).rows
+
+
+@query("csv_intake_survey", "S2 S3", f"""WITH c AS ({_CELLS}), f AS (SELECT kind, count(*) AS rows FROM c GROUP BY kind)
+    SELECT CASE kind WHEN 1 THEN ';' WHEN 2 THEN chr(9) ELSE ',' END AS delimiter, kind = 3 AS multiline, CASE WHEN kind < 2 THEN 2 ELSE 1 END AS header_row, rows FROM f""")
+def csv_intake_survey(t: Tables) -> DataFrame:
+    """How the files were read, by kind, and how many rows each kind gave."""
+    path = _customer_files(t)
+    found = intake.read(t.spark, path)
+    kind = F.regexp_extract("file", "kind=([0-9])", 1).cast("bigint")
+    files = found.survey.select(kind.alias("kind"), "delimiter", "multiline", "header_row").distinct()
+    rows = found.rows.groupBy((F.col("customer id").try_cast("bigint") % 4).alias("k")).agg(F.count(F.lit(1)).alias("rows"))
+    return files.join(rows, F.col("kind") == F.col("k")).select("delimiter", "multiline", F.col("header_row").cast("int").alias("header_row"), "rows")
 
 
 @query("csv_typed_scan", "S6", """SELECT o_orderstatus, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS orders,

@@ -27,29 +27,18 @@ def formula_guard(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _csv_cell(c: Column) -> Column:
-    quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.coalesce(F.when(c.rlike('[",\r\n]'), quoted).otherwise(c), F.lit(""))
+def write_csv(df: DataFrame, path: str, guard: bool = True, bom: bool = False, delimiter: str = ",") -> None:
+    """CSV files, each starting with the header: quotes only where needed, NULL as an empty cell, numbers in plain digits.
 
-
-def csv_lines(df: DataFrame) -> DataFrame:
-    """Each row as one CSV line: quotes only where needed, NULL as an empty cell."""
-    return df.select(F.concat_ws(",", *[_csv_cell(cells.raw_text(df, n)) for n in df.columns]).alias("value"))
-
-
-def write_csv(df: DataFrame, path: str, guard: bool = True) -> None:
-    """CSV files with CRLF line ends, each starting with the header.
-
-    Written as text, because the CSV writer would turn line breaks inside cells
-    into its own line end. A task writes one file; its first row (record number
-    0 within the task) brings the header along.
+    An empty result is one file with the header. ``bom`` starts every file with a byte order mark, for spreadsheets that
+    take UTF-8 for another encoding without it. Lines end with a line feed: the writer would put a longer line end
+    in place of the line breaks inside cells, too.
     """
     safe = formula_guard(df) if guard else df
-    names = ['"' + n.replace('"', '""') + '"' if re.search('[",\r\n]', n) else n for n in safe.columns]
-    record = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    headed = F.concat(F.lit(",".join(names) + "\r\n"), F.col("value"))
-    lines = csv_lines(safe).select(F.when(record == 0, headed).otherwise(F.col("value")).alias("value"))
-    lines.write.mode("errorifexists").option("lineSep", "\r\n").text(path)
+    texts = safe.select(*[cells.raw_text(safe, n).alias(f"\ufeff{n}" if bom and i == 0 else n) for i, n in enumerate(safe.columns)])
+    (texts.write.mode("errorifexists").option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
+     .option("nullValue", "").option("emptyValue", "").option("lineSep", "\n")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def _numbered(rows: DataFrame, order: list[Column], start: int) -> DataFrame:
