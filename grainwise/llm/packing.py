@@ -35,7 +35,6 @@ class Known(dict):
 
         super().__init__()
         self.coder = Tokenizer.from_file(tokenizer_file)
-        self.coder.encode_special_tokens = True
         self.model = self.coder.model
         # The letters that stand for the bytes of a word, as the tokenizer's own byte-level step writes them.
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)

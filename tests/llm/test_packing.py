@@ -10,7 +10,6 @@ from grainwise.llm.queries import QUERIES, WORD_BPE
 
 def check(docs, got, width=packing.WIDTH):
     coder = Tokenizer.from_file(WORD_BPE)
-    coder.encode_special_tokens = True
     rows, want = docs.select("doc_id", "text").collect(), {}
     for r in rows:
         want.setdefault(r["doc_id"], []).append([*coder.encode(r["text"] or "", add_special_tokens=False).ids, 1])
