@@ -19,6 +19,8 @@ from grainwise.llm.common import per_text
 LAST = 1 << 12
 KNOWN_RUNS, KNOWN_BYTES, KNOWN_PAIRS = 400_000, 32 << 20, 2_000_000
 DECODED = 1 << 16
+# Letters below this are precomposed and have simple lower-case forms; signs that may trail a word.
+LATIN, TRAILING = "\u0250", ".,!*$%&#|?;:"
 NEVER = 1 << 60
 
 
@@ -27,7 +29,7 @@ class Merges:
 
     ``rank`` gives the rank of a pair, ``parts`` the pair that a token is made of, ``shorter`` the longest other token that
     a token's spelling begins with. Tokens that the merges never leave standing by themselves cannot occur in any text
-    and are left out. The machine finds, for every place of a spelling read backwards, the longest token that begins there.
+    and are left out. The machine finds the longest token that begins at a place; every single letter is one.
     """
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
@@ -50,10 +52,11 @@ class Merges:
                 known[spelt[whole]] = None
         by_spelling = {s: i for i, s in spelt.items()}
         self.length = {i: len(s) for i, s in spelt.items()}
+        self.reach = max(self.length.values())
         self.shorter = {i: next((by_spelling[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in by_spelling), None) for i, s in spelt.items()}
         self.machine = ahocorasick.Automaton()
         for s, i in by_spelling.items():
-            self.machine.add_word(s[::-1], i)
+            self.machine.add_word(s, i)
         self.machine.make_automaton()
 
     def compatible(self, a: int, b: int, before: int = NEVER) -> bool:
@@ -84,26 +87,26 @@ class Merges:
             found = self.pairs[a, b] = self.compatible(a, b)
         return found
 
-    def longest(self, spelling: str) -> list[int]:
-        """The longest token that begins at each place."""
-        found, n = [-1] * len(spelling), len(spelling)
-        for end, token in self.machine.iter(spelling[::-1]):
-            if found[n - 1 - end] < 0 or self.length[token] > self.length[found[n - 1 - end]]:
-                found[n - 1 - end] = token
-        return found
+    def longest(self, spelling: str, at: int) -> int:
+        """The longest token that begins at a place."""
+        return next(self.machine.iter_long(spelling[at: at + self.reach]))[1]
 
     def encode(self, spelling: str) -> list[int]:
         """The tokens that merging by rank leaves: the only sequence whose neighbours are all compatible.
 
         Tokens are laid from the left, the longest first, then the ones that its spelling begins with. A token must be
         compatible with the one before and end at a place not yet given up. A place where none fits is given up and its
-        token exchanged for a shorter one; each place is given up once, so the work is linear in the text.
+        token exchanged for a shorter one; each place is given up once, so the work is linear in the text. As long as every
+        longest token fits, one pass of the machine gives them all.
         """
-        if not spelling:
-            return []
-        longest, laid, at, n = self.longest(spelling), [], 0, len(spelling)
-        given_up = bytearray(n + 1)
-        token = longest[0]
+        laid: list[int] = []
+        at, n, pairs, last = 0, len(spelling), self.pairs, None
+        for end, token in self.machine.iter_long(spelling):
+            if last is not None and not (pairs[last, token] if (last, token) in pairs else self._fits(last, token)):
+                break
+            laid.append(token)
+            last, at = token, end + 1
+        given_up = bytearray(n + 1) if at < n else b""
         while at < n:
             while token is not None:
                 end = at + self.length[token]
@@ -113,7 +116,7 @@ class Merges:
             if token is not None:
                 laid.append(token)
                 at = end
-                token = longest[at] if at < n else None
+                token = self.longest(spelling, at) if at < n else None
             else:
                 given_up[at] = 1
                 last = laid.pop()
@@ -125,7 +128,8 @@ class Merges:
 class Coder(dict):
     """Ids, as bytes, of the runs between blanks that this worker has met; emptied at KNOWN_RUNS runs or KNOWN_BYTES.
 
-    Special tokens in a run are found first; normalising and cutting into words is the library's own; no word crosses a blank.
+    A run of Latin letters, with or without trailing punctuation, is one or two words, whose spelling is known. In any other run
+    special tokens are found first; normalising and cutting it into words is the library's own. No word crosses a blank.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -139,6 +143,7 @@ class Coder(dict):
         self.merges = Merges(model["vocab"], model["merges"], self.suffix)
         own = Tokenizer.from_file(tokenizer_file)
         self.normal, self.words = own.normalizer, own.pre_tokenizer
+        self.letters = {c: self.words.pre_tokenize_str(chr(c))[0][0] for c in range(0x61, ord(LATIN)) if chr(c).isalpha()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.marks = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         names = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
@@ -151,7 +156,14 @@ class Coder(dict):
         if len(self) >= KNOWN_RUNS or self.size >= KNOWN_BYTES:
             self.clear()
             self.size = 0
-        found = np.fromiter(self._ids(run), "<u4").tobytes()
+        word = run.rstrip(TRAILING)
+        low = word.lower()
+        if not low.isalpha() or max(low) >= LATIN:
+            found = np.fromiter(self._ids(run), "<u4").tobytes()
+        elif len(word) < len(run):
+            found = self[word] + self[run[len(word):]]
+        else:
+            found = np.array(self._word(low.translate(self.letters)), "<u4").tobytes()
         self[run] = found
         self.size += len(run) + len(found)
         return found
@@ -163,7 +175,10 @@ class Coder(dict):
                 yield self.special[run[begin:end]]
             elif begin < end:
                 for word, _ in self.words.pre_tokenize_str(self.normal.normalize_str(run[begin:end])):
-                    yield from self.merges.encode(word[:-1] + chr(ord(word[-1]) + LAST) if self.suffix else word)
+                    yield from self._word(word)
+
+    def _word(self, word: str) -> list[int]:
+        return self.merges.encode(word[:-1] + chr(ord(word[-1]) + LAST) if self.suffix else word)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, re.split("[ \n\r\t]+", text))), "<u4")
