@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -86,21 +87,36 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Base spans, and broad ones that no span before them touches."""
+    """Base spans, and broad ones that no span before them touches.
+
+    Matches of one pattern do not overlap, so each is held against the ranges taken before its pattern, by bisection.
+    """
     out = base_spans(text)
-    more = []
     for kind, pattern, marks in _BROAD:
         if not marks and kind in ("phone", "iban") and not _DIGIT.search(text):
             continue
         if all(any(m in text for m in group) for group in marks):
+            begins, ends = _taken(out)
             for m in pattern.finditer(text):
-                more.append((kind, *(m.span("v") if "v" in pattern.groupindex else m.span())))
-    for kind, a, b in more:
-        if not any(a < y and x < b for _, x, y in out):
-            out.append((kind, a, b))
+                a, b = m.span("v") if "v" in pattern.groupindex else m.span()
+                at = bisect_right(ends, a)
+                if at == len(ends) or begins[at] >= b:
+                    out.append((kind, a, b))
     return out
 
 
+def _taken(found: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the ranges that the spans cover together, in order."""
+    begins, ends = [], []
+    for a, b in sorted((a, b) for _, a, b in found):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
 def votes(text: str, kind: str, a: int, b: int) -> tuple[int, int, int]:
     """Votes of the regex, gazetteer and context labelers: 1 for, -1 against, 0 no opinion."""
     span, digits = text[a:b], sum(c.isdecimal() for c in text[a:b])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import ahocorasick
 import numpy as np
@@ -57,13 +58,13 @@ def folding() -> dict[int, str]:
 def fold(text: str, table: dict[int, str]) -> str:
     """Words of folded text between single blanks, with a blank at either end.
 
-    A word made of digits and signs only is dropped first: a number or a rule of dollar signs is no disguised word.
+    A number is dropped first: it is no disguised word. Exclamation marks end a word, ``@`` and ``$`` at its end are letters.
     """
     return " " + " ".join(_worded(text).translate(table).split()) + " "
 
 
 def _worded(text: str) -> str:
-    return " ".join([w if w.isalpha() else w.rstrip("!?$@*&%#").lstrip("!?*&%#") for w in text.split() if not w.isdigit()])
+    return " ".join([w if w.isalpha() else w.rstrip("!?*&%#").lstrip("!?*&%#") for w in text.split() if not w.isdigit()])
 
 
 @dataclass(frozen=True)
@@ -94,7 +95,15 @@ def hits(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, float]]
             spared.append((begin, end))
         else:
             best[begin] = max(weight, best.get(begin, 0.0))
-    return [(p, w) for p, w in sorted(best.items()) if not any(a <= p < b for a, b in spared)]
+    out, reach, at = [], -1, 0
+    spared.sort()
+    for place, weight in sorted(best.items()):
+        while at < len(spared) and spared[at][0] <= place:
+            reach = max(reach, spared[at][1])
+            at += 1
+        if place >= reach:
+            out.append((place, weight))
+    return out
 
 
 def features(folded: str, automaton: ahocorasick.Automaton) -> tuple[float, float, int]:
@@ -107,8 +116,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, entries: int
     """Lexicon and calibration from at most ``rows`` labelled documents outside the held-out fold.
 
     For whole words and word beginnings, the documents of either label that hold them are counted on the cluster; the
-    ``entries`` strongest reach the driver. An entry is kept if nearly all of its documents are toxic and no kept, shorter
-    beginning covers it. The calibration is a logistic regression on the summed weight and on its density.
+    ``entries`` strongest of which nearly all documents are toxic reach the driver. Whole words are entries. A beginning is
+    one only if it is what several of those words have in common, at full length; beginnings of a single word are not, since
+    they begin harmless words, too. The calibration is a logistic regression on the summed weight and on its density. Rows
+    that share an id are rows of their own; rows without an id or without a label are not learned from.
     """
     ready(docs.sparkSession)
     sample = fitting_rows(docs, labels, "toxic", rows, "toxic-sample")
@@ -133,13 +144,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, entries: int
               .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
               .filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") >= LEAST_SHARE * (F.col("toxic") + F.col("clean"))))
               .orderBy(F.desc("toxic"), F.length("entry"), "entry").limit(entries).collect())
-    weights: dict[str, float] = {}
-    for r in strong:
-        entry = r["entry"]
-        if not any(entry[: n + 1] in weights for n in STEM if n + 1 <= len(entry)):
-            weights[entry] = math.log((r["toxic"] + 0.5) / (n1 + 1)) - math.log((r["clean"] + 0.5) / (n0 + 1))
+    weights = chosen({r["entry"]: math.log((r["toxic"] + 0.5) / (n1 + 1)) - math.log((r["clean"] + 0.5) / (n0 + 1)) for r in strong})
     heaviest = max(weights.values(), default=5.0)
-    weights |= {f" {s} ": heaviest for s in seeds if f" {s} " not in weights and not any(f" {s}"[: n + 1] in weights for n in STEM)}
+    weights |= {f" {s} ": heaviest for s in seeds if not _covered(f" {s} ", weights)}
     raw = Lexicon(weights, exceptions, ())
 
     def measure():
@@ -151,6 +158,32 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, entries: int
     return Lexicon(weights, exceptions, tuple(beta.tolist()))
 
 
+def chosen(strong: dict[str, float]) -> dict[str, float]:
+    """Entries to match of the strong words and beginnings: common beginnings of two words or more, and the words left.
+
+    A common beginning is given at full length, with the weight of the longest strong beginning within it.
+    """
+    words = defaultdict(list)
+    for entry in strong:
+        if entry.endswith(" "):
+            for n in STEM:
+                if n + 2 <= len(entry):
+                    words[entry[: n + 1]].append(entry)
+    stems: dict[str, float] = {}
+    for entry in sorted((e for e in strong if not e.endswith(" ")), key=lambda e: (len(e), e)):
+        if len(words[entry]) > 1:
+            stems[commonprefix(words[entry]).rstrip()] = strong[entry]
+    kept: dict[str, float] = {}
+    for entry in sorted([*stems, *(e for e in strong if e.endswith(" "))], key=lambda e: (len(e), e)):
+        if entry not in kept and not _covered(entry, kept):
+            kept[entry] = stems[entry] if entry in stems else strong[entry]
+    return kept
+
+
+def _covered(entry: str, kept: dict[str, float]) -> bool:
+    return any(entry[:n] in kept for n in range(STEM[0] + 1, len(entry) + 1))
+
+
 def _counts(seen: Counter) -> pa.RecordBatch:
     entries = sorted({e for e, _ in seen})
     return pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array([seen[e, 1] for e in entries], pa.int64()),
