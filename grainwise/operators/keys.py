@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grainwise.functions import cells
 
@@ -102,14 +103,17 @@ def matched_counts(left: DataFrame, right: DataFrame, on: Pairs) -> DataFrame:
 def relationship(left: DataFrame, right: DataFrame, on: Pairs) -> DataFrame:
     """One row: cardinality, coverage, orphans and the size of the join."""
     counts = matched_counts(left, right, on)
-    whole = _complete(len(on))
-    l, r = F.col("left_n"), F.col("right_n")
-    both = l.isNotNull() & r.isNotNull()
+    return _judged(counts.agg(*_facts(_complete(len(on)), F.col("left_n"), F.col("right_n"))))
+
+
+def _facts(whole: Column, l: Column, r: Column) -> list[Column]:
+    """Aggregates over rows with the row counts of one key on both sides; a key that is not whole matches nothing."""
+    both = whole & l.isNotNull() & r.isNotNull()
 
     def total(value: Column, where: Column) -> Column:
         return F.coalesce(F.sum(F.when(where, value)), F.lit(0)).cast("bigint")
 
-    facts = counts.agg(
+    return [
         total(l, F.lit(True)).alias("left_rows"),
         total(r, F.lit(True)).alias("right_rows"),
         total(l, ~whole).alias("left_null_rows"),
@@ -118,13 +122,16 @@ def relationship(left: DataFrame, right: DataFrame, on: Pairs) -> DataFrame:
         (F.count_if(whole & (r > 1)) + F.count_if(~whole & r.isNotNull()) == 0).alias("right_unique"),
         total(l, both).alias("matched_left_rows"),
         total(r, both).alias("matched_right_rows"),
-        total(l, r.isNull()).alias("left_orphan_rows"),
-        total(r, l.isNull()).alias("right_orphan_rows"),
+        total(l, ~whole | r.isNull()).alias("left_orphan_rows"),
+        total(r, ~whole | l.isNull()).alias("right_orphan_rows"),
         F.count_if(whole & r.isNull()).alias("left_orphan_keys"),
         F.count_if(whole & l.isNull()).alias("right_orphan_keys"),
-        total(l * F.coalesce(r, F.lit(1)), l.isNotNull()).alias("left_join_rows"),
+        total(l * F.when(both, r).otherwise(F.lit(1)), l.isNotNull()).alias("left_join_rows"),
         total(l * r, both).alias("inner_join_rows"),
-    )
+    ]
+
+
+def _judged(facts: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     return (
         facts.withColumn("cardinality", cardinality(F.col("left_unique"), F.col("right_unique")))
@@ -198,35 +205,91 @@ def candidate_pairs(
     return named or common, composite
 
 
-def _described(rel: DataFrame, left: str, right: str, on: Pairs) -> DataFrame:
-    return rel.select(
-        F.lit(left).alias("left_table"), F.lit(right).alias("right_table"),
-        F.lit("+".join(a for a, _ in on)).alias("left_fields"), F.lit("+".join(b for _, b in on)).alias("right_fields"),
-        "*",
+def _compared_as(left: DataFrame, a: str, right: DataFrame, b: str) -> str:
+    """Type in which two columns are compared as keys: text, tagged text (other families), nested values, or a SQL type."""
+    kinds = cells.family(left, a), cells.family(right, b)
+    if kinds[0] != kinds[1]:
+        return "tagged"
+    if kinds[0] in ("text", "other"):
+        return kinds[0]
+    both = left.select(cells.col(a).alias("k")).union(right.select(cells.col(b).alias("k")))
+    common = both.schema["k"].dataType
+    return "bigint" if isinstance(common, T.IntegralType) else common.simpleString()
+
+
+def _as_text(df: DataFrame, name: str, kind: str) -> Column:
+    """A key part as text: two parts have the same text just if they are equal in the type they are compared in."""
+    part = cells.key_part(df, name)
+    if kind == "text":
+        return part
+    if kind == "tagged":
+        return F.concat(F.lit(cells.family(df, name) + ":"), part.cast("string"))
+    if kind == "other":
+        return F.when(part.isNotNull(), F.to_json(F.struct(part.alias("k"))))
+    part = part.cast(kind)
+    if kind in ("double", "float"):
+        part = part.cast("double") + F.lit(0.0)
+    return (F.unix_micros(part) if kind == "timestamp" else part).cast("string")
+
+
+def relationships(tables: dict[str, DataFrame], wanted: list[tuple[str, str, Pairs]]) -> DataFrame:
+    """What ``relationship`` says of many pairs of fields, one row each, from one scan of every table.
+
+    Each table is unpivoted to rows (field list, key) and folded to counts in its tasks; the counts of a key meet in one
+    row, from which every pair that knows the key gets its two counts. Shuffled are distinct keys per field list; a row
+    of a key holds one count per field list.
+    """
+    sides: dict[tuple, int] = {}
+    pairs = []
+    for a, b, on in wanted:
+        kinds = tuple(_compared_as(tables[a], x, tables[b], y) for x, y in on)
+        ends = ((a, tuple(x for x, _ in on)), (b, tuple(y for _, y in on)))
+        pairs.append([sides.setdefault((*end, kinds), len(sides)) for end in ends])
+    unpivoted = []
+    for name, df in tables.items():
+        own = [
+            F.struct(F.lit(side).alias("side"), F.array(*[_as_text(df, f, k) for f, k in zip(fields, kinds, strict=True)]).alias("key"))
+            for (table, fields, kinds), side in sides.items() if table == name
+        ]
+        if own:
+            unpivoted.append(df.select(F.inline(F.array(*own))))
+    seen = (
+        reduce(DataFrame.unionAll, unpivoted).groupBy("key", "side").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("side", "n"))).alias("counts"))
     )
+    listed = F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.lit(l).alias("l"), F.lit(r).alias("r")) for i, (l, r) in enumerate(pairs)])
+    known = F.filter(listed, lambda p: F.map_contains_key("counts", p["l"]) | F.map_contains_key("counts", p["r"]))
+    counted = seen.select(F.forall("key", lambda k: k.isNotNull()).alias("whole"), "counts", F.inline(known)).select(
+        "pair", "whole", F.try_element_at("counts", "l").alias("l"), F.try_element_at("counts", "r").alias("r"))
+    # A row without counts per pair, so that pairs of empty tables are listed as well.
+    nothing = F.lit(None).cast("bigint")
+    blank = seen.sparkSession.range(len(pairs)).select(F.col("id").cast("int"), F.lit(False), nothing, nothing)
+    facts = counted.unionAll(blank).groupBy("pair").agg(*_facts(F.col("whole"), F.col("l"), F.col("r")))
+    names = F.array(*[
+        F.struct(F.lit(a).alias("left_table"), F.lit(b).alias("right_table"), F.lit("+".join(x for x, _ in on)).alias("left_fields"),
+                 F.lit("+".join(y for _, y in on)).alias("right_fields"), F.lit(len(on)).alias("width")) for a, b, on in wanted])
+    return _judged(facts.select(F.get(names, F.col("pair")).alias("of"), *facts.columns).select("of.*", *facts.columns).drop("pair"))
 
 
 def join_candidates(tables: dict[str, DataFrame], same: Callable[[str], str] = normal_name) -> DataFrame | None:
-    """Every plausible relationship between the tables, best first.
+    """Every plausible relationship between the tables, best first; one scan per table.
 
     The score is the number of orphan rows, plus ten for a many-to-many pair. A
     composite pair is kept only when it is unique on one side.
     """
-    found = []
+    wanted = []
     names = list(tables)
     for i, a in enumerate(names):
         for b in names[i + 1:]:
             singles, composites = candidate_pairs(tables[a], tables[b], same)
-            for pair in singles:
-                found.append(_described(relationship(tables[a], tables[b], [pair]), a, b, [pair]))
-            for on in composites:
-                rel = _described(relationship(tables[a], tables[b], on), a, b, on)
-                found.append(rel.filter(F.col("left_unique") | F.col("right_unique")))
-    if not found:
+            wanted += [(a, b, on) for on in ([[pair] for pair in singles] + composites)]
+    if not wanted:
         return None
     penalty = F.when(F.col("blocked"), F.lit(10)).otherwise(F.lit(0))
     return (
-        reduce(DataFrame.unionByName, found)
+        relationships(tables, wanted)
+        .filter((F.col("width") == 1) | F.col("left_unique") | F.col("right_unique")).drop("width")
         .withColumn("score", (penalty + F.col("left_orphan_rows") + F.col("right_orphan_rows")).cast("bigint"))
         .orderBy("score", "left_table", "right_table", "left_fields")
     )
@@ -235,17 +298,12 @@ def join_candidates(tables: dict[str, DataFrame], same: Callable[[str], str] = n
 def bridge_candidates(
     included: dict[str, DataFrame], third_name: str, third: DataFrame, same: Callable[[str], str] = normal_name
 ) -> DataFrame | None:
-    """How a third table can be attached to tables already joined, best first."""
-    found = []
-    for name, table in included.items():
-        for a in table.columns:
-            for b in third.columns:
-                if same(a) == same(b):
-                    found.append(_described(relationship(table, third, [(a, b)]), name, third_name, [(a, b)]))
-    if not found:
+    """How a third table can be attached to tables already joined, best first; one scan per table."""
+    wanted = [(name, third_name, [(a, b)]) for name, table in included.items()
+              for a in table.columns for b in third.columns if same(a) == same(b)]
+    if not wanted:
         return None
     penalty = F.when(F.col("blocked"), F.lit(100)).otherwise(F.lit(0))
     score = penalty + F.col("left_orphan_rows") + F.col("right_orphan_rows") - F.col("left_coverage")
-    return reduce(DataFrame.unionByName, found).withColumn("score", score.cast("double")).orderBy(
-        "score", "left_table", "left_fields"
-    )
+    found = relationships(included | {third_name: third}, wanted).drop("width")
+    return found.withColumn("score", score.cast("double")).orderBy("score", "left_table", "left_fields")

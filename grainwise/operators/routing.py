@@ -278,6 +278,11 @@ GROUP_WORDS = [
 GROUP_FALLBACK = "(?i)region|segment|category|warehouse|channel|地区|区域|品类|客户类型|仓库|渠道"
 VALUE_FALLBACK = "(?i)amount|sales|gmv|revenue|spend|price|stock_qty|金额|销售额|收入|价格|库存"
 TIME_FALLBACK = "(?i)date|time|month|日期|时间|月份"
+# Wording that names a field itself; the field is then that one or none.
+NAMED_ID = r"(?i)(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_.]*(?:_id|_key|_code))(?![A-Za-z0-9_])"
+NAMED_VALUE = [r"(?i)(?:计算|汇总|求和|平均)\s*([A-Za-z_][\w.]*)", r"(?i)([A-Za-z_][\w.]*)\s*(?:合计|总额|求和|平均)"]
+NAMED_GROUP = r"(?i)按\s*([A-Za-z_][\w.]*)\s*(?:分组|汇总|比较)"
+ANY_VALUE = "(?i)^(?:gmv|revenue|sales)$"
 
 
 def _first(names: list[str], pattern: str) -> str | None:
@@ -288,11 +293,27 @@ def _mentioned(q: Column, names: list[str]) -> Column:
     return F.coalesce(F.lit(None).cast("string"), *[F.when(mentions(q, n), F.lit(n)) for n in names])
 
 
+def _written(q: Column, *patterns: str) -> Column:
+    """The field name a question spells out, by the first pattern that finds one, else NULL."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(q, p, 1), F.lit("")) for p in patterns])
+
+
+def _called(names: list[str], name: Column) -> Column:
+    """The fields of that name, with or without a table before it."""
+    listed = F.array(*map(F.lit, names)).cast("array<string>")
+    return F.filter(listed, lambda n: (n == name) | n.endswith(F.concat(F.lit("."), name)))
+
+
+def _only(found: Column) -> Column:
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+
+
 def bind_fields(questions: DataFrame, text: str, fields: list[Field]) -> DataFrame:
     """Entity, value, group and time field each question most likely means.
 
     Which field answers which wording is settled once from the field list; per
-    question only the wording is tested.
+    question only the wording is tested. A question that spells out a field the
+    table does not have binds nothing in its place, not a default.
     """
     q = cells.col(text)
     names = [f.name for f in fields]
@@ -304,10 +325,20 @@ def bind_fields(questions: DataFrame, text: str, fields: list[Field]) -> DataFra
         own = [n for n in names if re.search(ENTITY_KEY, n)]
         entity = F.when(q.rlike(words), F.lit(_first(own, pattern))).otherwise(entity)
     named = _mentioned(q, names)
-    entity = F.when(is_distinct_count(q) & named.isNotNull(), named).otherwise(entity)
-
-    value = F.coalesce(_mentioned(q, numeric), F.lit(_first(numeric, VALUE_FALLBACK)))
-    group = F.lit(_first(names, GROUP_FALLBACK))
+    identifier = F.lower(_written(q, NAMED_ID))
+    unfolded = F.array(*map(F.lit, names)).cast("array<string>")
+    alike = F.filter(unfolded, lambda n: (F.lower(n) == identifier) | F.lower(n).endswith(F.concat(F.lit("."), identifier)))
+    counted = F.when(named.isNotNull(), named).when(identifier.isNotNull(), _only(alike)).otherwise(entity)
+    entity = F.when(is_distinct_count(q), counted).otherwise(entity)
+
+    measure = _written(q, *NAMED_VALUE)
+    value = (
+        F.when(_mentioned(q, numeric).isNotNull(), _mentioned(q, numeric))
+        .when(measure.isNotNull() & ~measure.rlike(ANY_VALUE), _only(_called(numeric, measure)))
+        .otherwise(F.lit(_first(numeric, VALUE_FALLBACK)))
+    )
+    by = _written(q, NAMED_GROUP)
+    group = F.when(by.isNotNull(), F.get(_called(names, by), F.lit(0))).otherwise(F.lit(_first(names, GROUP_FALLBACK)))
     for words, pattern in reversed(GROUP_WORDS):
         group = F.when(q.rlike(words), F.lit(_first(names, pattern))).otherwise(group)
     dated = next((f.name for f in fields if f.type == "date"), None) or _first(names, TIME_FALLBACK)

@@ -1,3 +1,6 @@
+import datetime as dt
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +82,36 @@ def test_candidates(tables):
     assert keys.join_candidates({"a": tables["items"].select("category"), "b": tables["customers"].select("region")}) is None
 
 
+def test_many_relationships_at_once_equal_each_alone(spark):
+    a = spark.createDataFrame(
+        [(1, 1.0, " X", "p", None, dt.date(2024, 1, 1)), (2, -0.0, "x", "q", [1], None), (2, 2.5, "null", "q", [1], dt.date(2024, 1, 2)), (None, None, "y", "r", [2], None)],
+        "i int, d double, t string, u string, v array<int>, day date")
+    b = spark.createDataFrame(
+        [(1, Decimal(1), "x", "p", [1], dt.datetime(2024, 1, 1)), (2, Decimal(0), "1", "q", [1], None), (5, None, "y", None, None, dt.datetime(2024, 1, 2, 5))],
+        "i bigint, d decimal(5,2), t string, u string, v array<int>, day timestamp")
+    tables = {"a": a, "b": b, "none": a.limit(0), "empty": b.limit(0)}
+    ons = [[(c, c)] for c in a.columns] + [[("i", "t")], [("t", "i")], [("i", "i"), ("u", "u")], [("t", "t"), ("d", "d")], [("u", "t"), ("day", "day")]]
+    wanted = [(x, y, on) for x, y in (("a", "b"), ("a", "empty"), ("none", "b"), ("none", "empty")) for on in ons]
+    got = {(r.left_table, r.right_table, r.left_fields, r.right_fields): r.asDict() for r in keys.relationships(tables, wanted).collect()}
+    assert len(got) == len(wanted)
+    for x, y, on in wanted:
+        alone = keys.relationship(tables[x], tables[y], on).first().asDict()
+        row = got[x, y, "+".join(c for c, _ in on), "+".join(c for _, c in on)]
+        assert {k: row[k] for k in alone} == alone, (x, y, on)
+
+
+def test_candidates_scan_each_table_once(spark, tmp_path):
+    tables = {}
+    for name in ("x", "y", "z"):
+        spark.range(50).selectExpr("id AS a_id", "id % 7 AS b_id", "id AS c_id", "'w' AS other").write.parquet(str(tmp_path / name))
+        tables[name] = spark.read.parquet(str(tmp_path / name))
+    found = keys.join_candidates(tables)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3 and "other" not in found._jdf.queryExecution().sparkPlan().toString()
+    # Three tables, three pairs of them, three single fields and the composites that hold a unique field.
+    assert sum("+" not in r.left_fields for r in found.collect()) == 9 and found.count() == 18
+
+
 def test_every_common_key_is_a_candidate(spark):
     """Nine common columns give nine single candidates."""
     names = [f"k{i}_id" for i in range(9)]

@@ -96,6 +96,20 @@ def test_field_bindings(spark):
     assert mentions == {(0, "amount"), (1, "conversions")}
 
 
+def test_a_spelt_field_binds_itself_or_nothing(spark):
+    fields = [*FIELDS, Field("shop.margin", "number"), Field("shop.parcel_id", "text"), Field("a.brand", "text"), Field("b.brand", "text"),
+              Field("a.cost", "number"), Field("b.cost", "number")]
+    texts = ["不同 Parcel_ID 的个数", "不同 rider_id 的个数", "计算 margin 合计", "计算 weight 合计", "cost 总额", "gmv 合计", "按 brand 分组比较 amount",
+             "按 shelf 分组比较 amount", "按地区比较 margin 合计"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, q string")
+    got = {x.q: x for x in r.bind_fields(df, "q", fields).collect()}
+    assert [got[t].entity_field for t in texts[:2]] == ["shop.parcel_id", None]
+    assert [got[t].value_field for t in texts[2:6]] == ["shop.margin", None, None, "amount"]
+    assert [got[t].group_field for t in texts[6:8]] == ["a.brand", None]
+    assert (got[texts[8]].value_field, got[texts[8]].group_field) == ("shop.margin", "region")
+    assert r.bind_fields(df, "q", []).count() == len(texts)
+
+
 def test_mentions_are_whole_words(spark):
     assert routed(spark, ["amounts", "the amount, please", "AMOUNT", "my_amount"], lambda q: r.mentions(q, "amount")) == [
         False, True, True, False]
