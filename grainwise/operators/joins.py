@@ -127,21 +127,26 @@ def qualified(alias: str, column: str) -> str:
     return f"{alias}__{column}"
 
 
-def _keyed(df: DataFrame, fields: list[str], tags: list[bool], side: str, spread_nulls: bool) -> DataFrame:
+def _spread(df: DataFrame) -> Column:
+    return (F.pmod(F.xxhash64(*[cells.col(c) for c in df.columns]), F.lit(SALTS)) + 1).cast("tinyint")
+
+
+def _keyed(df: DataFrame, fields: list[str], tags: list[bool], side: str, spread_nulls: bool, spread: str | None = None) -> DataFrame:
     """Adds normalised keys and, if asked for, a salt.
 
     Rows with a NULL key match nothing but would all hash to one partition of a
     shuffle join. The salt spreads them; it is a hash of the row, so a retried
     task computes the same one. Without NULL keys it is left out, which keeps a
-    table bucketed on a native key co-located.
+    table bucketed on a native key co-located. ``spread`` names a column that
+    holds the hash already; no other column is kept for its sake.
     """
     parts = keys.key_parts(df, fields, tags)
     out = df.select("*", *[p.alias(f"__{side}{i}") for i, p in enumerate(parts)])
     if not spread_nulls:
         return out
     whole = reduce(lambda a, b: a & b, [F.col(f"__{side}{i}").isNotNull() for i in range(len(parts))])
-    spread = F.pmod(F.xxhash64(*[cells.col(c) for c in df.columns]), F.lit(SALTS)).cast("int") + 1
-    return out.withColumn(f"__{side}salt", F.when(whole, F.lit(0)).otherwise(spread))
+    salt = _spread(df) if spread is None else F.col(spread)
+    return out.withColumn(f"__{side}salt", F.when(whole, F.lit(0).cast("tinyint")).otherwise(salt))
 
 
 def _same(n: int, left: str, right: str, spread_nulls: bool) -> Column:
@@ -158,7 +163,7 @@ def _helpers(n: int, spread_nulls: bool) -> list[str]:
 
 def attach(
     current: DataFrame, right: DataFrame, left_fields: list[str], right_fields: list[str], how: str, right_alias: str,
-    flag: str, tags: list[bool], spread_nulls: bool = True,
+    flag: str, tags: list[bool], spread_nulls: bool = True, spread: str | None = None,
 ) -> DataFrame:
     """Join ``right`` (to be qualified) to a frame of already qualified columns.
 
@@ -166,7 +171,7 @@ def attach(
     any, is left to AQE, which knows the measured sizes.
     """
     n = len(left_fields)
-    l = _keyed(current, left_fields, tags, "l", spread_nulls)
+    l = _keyed(current, left_fields, tags, "l", spread_nulls, spread)
     r = _keyed(right, right_fields, tags, "r", spread_nulls)
     added = [c for c in r.columns if c not in right.columns]
     r = r.select(
@@ -350,11 +355,13 @@ def chain(tables: dict[str, DataFrame], steps: list[Step], check: bool = True) -
     """Several joins in a row; step i sets the flag column matched_i.
 
     Each step's rules are checked against its source tables before anything
-    runs, and the order of the steps must be connected.
+    runs, and the order of the steps must be connected. Rows are hashed once,
+    where they are read, so that a join carries no column that the result does not need.
     """
     first = steps[0].source
     included = {first}
     current = qualify(tables[first], first)
+    current = current.withColumn("__spread", _spread(current))
     for i, step in enumerate(steps, 1):
         if step.source not in included:
             raise JoinRefused(f"step {i}: {step.source} has not been joined yet")
@@ -367,10 +374,10 @@ def chain(tables: dict[str, DataFrame], steps: list[Step], check: bool = True) -
         tags = keys.type_tags(left, right, step.spec.pairs)
         current = attach(
             current, right, [qualified(step.source, a) for a, _ in step.spec.on], [b for _, b in step.spec.on],
-            step.spec.how, step.table, f"matched_{i}", tags,
+            step.spec.how, step.table, f"matched_{i}", tags, spread="__spread",
         )
         included.add(step.table)
-    return current
+    return current.drop("__spread")
 
 
 def step_accounting(tables: dict[str, DataFrame], steps: list[Step]) -> DataFrame:

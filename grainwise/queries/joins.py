@@ -369,7 +369,7 @@ def join_step_cardinality(t: Tables) -> DataFrame:
 def join_lineage(t: Tables) -> DataFrame:
     """Amounts traced through three joins by row: key of the order, file position of the line."""
     tables = _chain_tables(t)
-    tables["lineitem"] = reconcile.with_row_identity(tables["lineitem"])
+    tables["lineitem"] = reconcile.with_row_number(tables["lineitem"])
     joined = joins.chain(tables, _steps())
     orders = reconcile.reconcile_rows(joined, tables["orders"], "o_orderkey", "orders__o_orderkey", ["o_totalprice"], "orders")
     lines = reconcile.reconcile_rows(joined, tables["lineitem"], "row_ref", "lineitem__row_ref", ["l_extendedprice"],
