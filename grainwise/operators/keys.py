@@ -166,13 +166,22 @@ def shown_key(n: int) -> Column:
 
 
 def key_samples(left: DataFrame, right: DataFrame, on: Pairs, n: int = 3) -> DataFrame:
-    """The first n matched, left-only and right-only keys, in text order."""
-    counts = matched_counts(left, right, on).filter(_complete(len(on)))
-    l, r = F.col("left_n"), F.col("right_n")
-    kinds = [("matched", l.isNotNull() & r.isNotNull()), ("left_orphan", r.isNull()), ("right_orphan", l.isNull())]
+    """The first n matched, left-only and right-only keys, in text order.
+
+    Which sides have a key is one number per key, so keys are neither counted nor joined: one aggregate, one row per key and side
+    shuffled by each task, nothing sorted.
+    """
+    tags = type_tags(left, right, on)
+    sides = [
+        df.select(*[p.alias(f"k{i}") for i, p in enumerate(key_parts(df, fields, tags))], F.lit(bit).alias("side")).filter(_complete(len(on)))
+        for df, fields, bit in ((left, [a for a, _ in on], 1), (right, [b for _, b in on], 2))
+    ]
+    check_fields(left, [a for a, _ in on])
+    check_fields(right, [b for _, b in on])
+    seen = sides[0].unionByName(sides[1]).groupBy(*[f"k{i}" for i in range(len(on))]).agg(F.bit_or("side").alias("sides"))
     parts = [
-        counts.filter(where).select(F.lit(kind).alias("kind"), shown_key(len(on)).alias("key")).orderBy("key").limit(n)
-        for kind, where in kinds
+        seen.filter(F.col("sides") == bits).select(F.lit(kind).alias("kind"), shown_key(len(on)).alias("key")).orderBy("key").limit(n)
+        for kind, bits in (("matched", 3), ("left_orphan", 1), ("right_orphan", 2))
     ]
     return reduce(DataFrame.unionByName, parts)
 
