@@ -18,7 +18,8 @@ from grainwise.sources import csv, intake, sinks
 
 
 def _lines(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    """The lines that surveys look at, in their places: none beyond the twentieth with any text."""
+    return t.documents.select(F.col("doc_id").alias("file"), F.posexplode(F.split(csv.first_lines(F.col("text")), "\n")).alias("place", "line"))
 
 
 LINES = """parts AS (SELECT doc_id AS file, string_split(text, chr(10)) AS parts FROM documents),

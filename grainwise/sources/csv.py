@@ -33,6 +33,14 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def first_lines(text: Column) -> Column:
+    """The beginning of a text, up to the end of the last line in which a header is looked for; the whole text if it has fewer.
+
+    No quantifier gives back what it took, so a text is read up to there at most, and once.
+    """
+    return F.regexp_extract(text, rf"\A(?:[{cells.BLANKS}]*+[^\n]++\n?+){{0,{HEADER_ROWS}}}+", 0)
+
+
 def _outside_quotes(line: Column, delimiter: str) -> Column:
     bare = F.regexp_replace(line, r'"[^"]*("|$)', "")
     return F.length(bare) - F.length(F.translate(bare, delimiter, ""))
