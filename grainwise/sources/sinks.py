@@ -11,6 +11,8 @@ from grainwise.functions import cells
 
 FORMULA = "^[" + cells.BLANKS + "]*[=+@-]"
 PAGE_ROWS = 25
+# About so many bytes of text go into a CSV file: one with line breaks in its cells is read by a single task.
+FILE_BYTES = 64 << 20
 
 
 def formula_guard(df: DataFrame) -> DataFrame:
@@ -32,11 +34,15 @@ def write_csv(df: DataFrame, path: str, guard: bool = True, bom: bool = False, d
 
     An empty result is one file with the header. ``bom`` starts every file with a byte order mark, for spreadsheets that
     take UTF-8 for another encoding without it. Lines end with a line feed: the writer would put a longer line end
-    in place of the line breaks inside cells, too.
+    in place of the line breaks inside cells, too. A file holds about FILE_BYTES by the mean length of a row, however
+    much a task writes.
     """
     safe = formula_guard(df) if guard else df
     texts = safe.select(*[cells.raw_text(safe, n).alias(f"\ufeff{n}" if bom and i == 0 else n) for i, n in enumerate(safe.columns)])
-    (texts.write.mode("errorifexists").option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
+    length = sum((F.coalesce(F.octet_length(cells.col(n)), F.lit(0)) + 1 for n in texts.columns), F.lit(0))
+    mean = texts.agg(F.avg(length)).first()[0] if texts.columns else None
+    rows = max(1, int(FILE_BYTES / mean)) if mean else 0
+    (texts.write.mode("errorifexists").option("maxRecordsPerFile", rows).option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"')
      .option("nullValue", "").option("emptyValue", "").option("lineSep", "\n")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
